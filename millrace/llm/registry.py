@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, langid, mixing, quality, sharding
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": quality.query,
+    "op4_language": langid.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
     "op10_shard": sharding.query,
