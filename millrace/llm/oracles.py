@@ -29,5 +29,40 @@ FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM dw GROUP BY doc_id) w USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM marks GROUP BY doc_id) m USING (doc_id)
 LEFT JOIN ids i USING (doc_id)
+""",
+    "op9_url_filter": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), base AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1), '') AS path FROM parts
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+         regexp_replace(host || path, '[0-9]+', '0', 'g') AS key FROM base
+), keys AS (
+  SELECT DISTINCT key, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 WHEN rule IS NULL THEN NULL ELSE 0.0 END AS acc FROM ruled
+), known AS (SELECT key, acc, substr(md5(key), 1, 1) IN ('0', '1', '2', '3') AS aside FROM keys WHERE acc IS NOT NULL
+), pos AS (SELECT key, unnest(range(1, length(key) + 1)) AS ix FROM (SELECT DISTINCT key FROM keys)
+), grams AS (SELECT key, substr(key, ix, s) AS gram, s FROM (SELECT key, ix, unnest(range(1, 5)) AS s FROM pos) WHERE ix + s - 1 <= length(key)
+), cnt AS (
+  SELECT gram, s, sum(acc)::DOUBLE AS a, sum(1 - acc)::DOUBLE AS r FROM grams JOIN (SELECT key, acc FROM known WHERE NOT aside) USING (key) GROUP BY gram, s
+), tot AS (SELECT sum(a) AS a, sum(r) AS r FROM cnt WHERE s = 1
+), ctx AS (SELECT substr(gram, 1, s - 1) AS c, s, sum(a) AS na, sum(r) AS nr FROM cnt WHERE s > 1 GROUP BY 1, 2
+), p1 AS (SELECT gram, (cnt.a + 1) / (tot.a + 256) AS pa, (cnt.r + 1) / (tot.r + 256) AS pr FROM cnt, tot WHERE s = 1
+), p2 AS (SELECT cnt.gram, (a + 4 * l.pa) / (na + 4) AS pa, (r + 4 * l.pr) / (nr + 4) AS pr, l.pa AS la, l.pr AS lr FROM cnt JOIN ctx ON ctx.s = 2 AND c = substr(cnt.gram, 1, 1) JOIN p1 l ON l.gram = substr(cnt.gram, 2) WHERE cnt.s = 2
+), p3 AS (SELECT cnt.gram, (a + 4 * l.pa) / (na + 4) AS pa, (r + 4 * l.pr) / (nr + 4) AS pr, l.pa AS la, l.pr AS lr FROM cnt JOIN ctx ON ctx.s = 3 AND c = substr(cnt.gram, 1, 2) JOIN p2 l ON l.gram = substr(cnt.gram, 2) WHERE cnt.s = 3
+), p4 AS (SELECT cnt.gram, (a + 4 * l.pa) / (na + 4) AS pa, (r + 4 * l.pr) / (nr + 4) AS pr, l.pa AS la, l.pr AS lr FROM cnt JOIN ctx ON ctx.s = 4 AND c = substr(cnt.gram, 1, 3) JOIN p3 l ON l.gram = substr(cnt.gram, 2) WHERE cnt.s = 4
+), model AS (
+  SELECT gram, ln(pa / pr) AS delta FROM p1 UNION ALL SELECT gram, ln(pa / pr) - ln(la / lr) FROM p2 UNION ALL SELECT gram, ln(pa / pr) - ln(la / lr) FROM p3 UNION ALL SELECT gram, ln(pa / pr) - ln(la / lr) FROM p4
+), scores AS (SELECT key, sum(delta) / length(key) AS score FROM grams JOIN model USING (gram) GROUP BY key
+), sp AS (SELECT acc, avg(score) AS mean, stddev_pop(score) AS sd FROM known JOIN scores USING (key) WHERE aside GROUP BY acc
+), bound AS (SELECT (x.mean * y.sd + y.mean * x.sd) / (x.sd + y.sd) AS b FROM sp x, sp y WHERE x.acc = 1 AND y.acc = 0)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN coalesce(score, 0) >= (SELECT b FROM bound) THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled LEFT JOIN scores USING (key)
 """,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, quality, sharding
+from . import decontaminate, langid, mixing, quality, sharding, urls
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": langid.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_url_filter": urls.query,
     "op10_shard": sharding.query,
 }
