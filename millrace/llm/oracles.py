@@ -64,5 +64,22 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN coalesce(score, 0) >= (SELECT b FROM bound) THEN 'allow' ELSE 'block' END AS verdict
 FROM ruled LEFT JOIN scores USING (key)
+""",
+    "op5_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
+), f AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM l WHERE trim(line, ' ') <> ''
+), w AS (SELECT a.doc_id, a.p, a.line AS l1, b.line AS l2 FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.p = a.p + 1
+), r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, p) AS n FROM w
+), d AS (SELECT DISTINCT doc_id, q AS p FROM (SELECT doc_id, unnest([p, p + 1]) AS q FROM r WHERE n > 1)
+), runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE prev IS NULL OR prev <> p - 1) AS n_runs
+            FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM d) GROUP BY doc_id
+), gone AS (SELECT f.doc_id, f.i FROM f JOIN d USING (doc_id, p)
+), kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS body FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY l.doc_id
+)
+SELECT t.doc_id, coalesce(c.n, 0)::INTEGER AS n_lines, coalesce(r.n_removed, 0)::INTEGER AS n_removed, coalesce(r.n_runs, 0)::INTEGER AS n_runs,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) c USING (doc_id)
+LEFT JOIN runs r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
 }
