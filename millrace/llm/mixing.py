@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, checkpointed, mix, table
+from .common import U64, binary_parts, checkpointed, mix, runs, table
 
 #: Longest run of characters that are not white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,8 +86,36 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def count_words(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Runs of bytes that are not white space, by text."""
+    out = np.zeros(len(off) - 1, np.int64)
+    for i, j in runs(off, 1 << 20):
+        part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        begins = ~_SPACE[part]
+        inner = begins[:-1].copy()
+        begins[1:] &= ~inner
+        head = o[:-1][(o[1:] > o[:-1]) & (o[:-1] > 0)]
+        begins[head] |= ~_SPACE[part[head]]
+        out[i:j] = np.diff(np.concatenate([[0], np.cumsum(begins)])[o])
+    return out
+
+
+def sized(df: DataFrame, keep: list[str], text: str = "text", name: str = "size") -> DataFrame:
+    """Columns `keep` of df and the number of words of its text."""
+    source = df.select(*keep, F.col(text).cast("binary").alias("__text"))
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            size = count_words(*binary_parts(batch.column(len(keep))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size)], schema=arrow)
+
+    return source.mapInArrow(run, schema)
 
 
 def _source_key(source: Column) -> Column:
@@ -140,8 +170,8 @@ def mix_documents(docs: DataFrame, block_words: int = 128, n_shards: int = 64, s
     The plan has one row per source and is made on the driver: sources are few by assumption (some hundred thousand fit).
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", _source_key(F.col("source")).alias("__key"), F.col("source").alias("__source"), word_count(F.col("text")).alias("size"))
-    rows = checkpointed(rows)
+    rows = docs.select("doc_id", _source_key(F.col("source")).alias("__key"), F.col("source").alias("__source"), "text")
+    rows = checkpointed(sized(rows, ["doc_id", "__key", "__source"]))
     sums = [(r["__source"], int(r["n"])) for r in rows.groupBy("__source").agg(F.sum("size").alias("n")).collect()]
     want = targets(sums)
     plan, blocks, wanted = [], [], []
@@ -189,10 +219,8 @@ def mixed_texts(docs: DataFrame, block_words: int = 128, **options) -> DataFrame
     )
     same = Window.partitionBy("doc_id", "__key", "size")
     pieces = pieces.withColumn("__nth", F.dense_rank().over(same.orderBy("uid"))).drop("uid")
-    body = docs.select(
-        F.struct("*").alias("b_row"), F.col("doc_id").alias("b_id"), _source_key(F.col("source")).alias("b_key"),
-        word_count(F.col("text")).alias("b_size"), F.col("text").alias("b_text"),
-    )
+    body = docs.select(F.struct("*").alias("b_row"), F.col("doc_id").alias("b_id"), _source_key(F.col("source")).alias("b_key"), F.col("text").alias("b_text"))
+    body = sized(body, body.columns, "b_text", "b_size")
     body = body.withColumn("b_nth", F.row_number().over(Window.partitionBy("b_id", "b_key", "b_size").orderBy("b_text")))
     on = [F.col(x).eqNullSafe(F.col(y)) for x, y in (("b_id", "doc_id"), ("b_key", "__key"), ("b_size", "size"), ("b_nth", "__nth"))]
     both = body.join(pieces, on)
