@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lines, mixing, quality, sharding, urls
+from . import decontaminate, langid, lines, mixing, nearcopies, quality, sharding, urls
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": quality.query,
     "op4_language": langid.query,
     "op5_line_dedup": lines.query,
+    "op6_near_copies": nearcopies.query,
     "op7_mix_sources": mixing.query,
     "op8_decontaminate": decontaminate.query,
     "op9_url_filter": urls.query,
