@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, langid, lines, mixing, nearcopies, quality, sharding, urls
+from . import decontaminate, embeddings, exactdup, langid, lines, mixing, nearcopies, quality, sharding, urls
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_strings": exactdup.query,
     "op2_near_embeddings": embeddings.query,
     "op3_quality": quality.query,
     "op4_language": langid.query,
