@@ -1,4 +1,7 @@
-"""Corpus pipeline: stages over `documents`, each one of the training-data operators."""
+"""Corpus pipeline: stages over `documents`, each one of the training-data operators.
+
+Every stage works on all rows that the one before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +9,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, sharding
+from millrace.llm import decontaminate, langid, mixing, nearcopies, sharding
 from millrace.llm.common import shared_folder, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is undetermined or predicted below the calibrated bound."""
+    return langid.identify(docs, langid.fit(docs), docs.columns, only_accepted=True)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least doc_id of every group of near copies."""
+    return nearcopies.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of any benchmark item."""
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns, below=1)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's words: a row for each pass over a document, cut to the words that the mix takes."""
     return mixing.mixed_texts(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of the mix."""
     return sharding.shard_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("shard", shard)]
+STAGES = [
+    ("language", identify_language), ("near_copies", drop_near_copies), ("decontaminate", drop_contaminated),
+    ("mix_sources", mix_sources), ("shard", shard),
+]
 
+#: The classifier, the signatures and the mix are not expressible in SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written and read again."""
+    """Applies the stages to documents; each stage's rows are written to the shared folder and read again."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):

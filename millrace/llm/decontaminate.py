@@ -127,13 +127,16 @@ def find(low: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray, tupl
     return first, (doc[exact], begin[exact], cand[exact])
 
 
-def _scan(w: Windows, keep: list[str], first_scan: bool, last_scan: bool, schema: pa.Schema):
-    """One scan: adds the hits of a group of windows to those of earlier scans; the last one makes the result."""
+def _scan(w: Windows, n_keep: int, first_scan: bool, last_scan: bool, schema: pa.Schema, below: int | None):
+    """One scan: adds the hits of a group of windows to those of earlier scans; the last one makes the result.
+
+    With `below`, only the kept columns of documents with fewer items than that are returned.
+    """
 
     def run(batches):
         for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
-            raw, off = binary_parts(get("__text"))
+            kept, text, carried = batch.columns[:n_keep], batch.column(n_keep), batch.columns[n_keep + 1 :]
+            raw, off = binary_parts(text)
             n_words, n_hit, names = [], [], []
             spans_out = []
             for i, j in runs(off, SLICE_BYTES):
@@ -144,7 +147,7 @@ def _scan(w: Windows, keep: list[str], first_scan: bool, last_scan: bool, schema
                     ids[d].update(w.items[c])
                 length = w.length[cand]
                 if not first_scan:
-                    for k, (old, spans) in enumerate(zip(get("__ids").slice(i, j - i).to_pylist(), get("__spans").slice(i, j - i).to_pylist())):
+                    for k, (old, spans) in enumerate(zip(carried[1].slice(i, j - i).to_pylist(), carried[0].slice(i, j - i).to_pylist())):
                         ids[k].update(old)
                         begin = np.concatenate([begin, np.array(spans[::2], np.int64) + first[k]])
                         length = np.concatenate([length, np.array(spans[1::2], np.int64)])
@@ -164,13 +167,16 @@ def _scan(w: Windows, keep: list[str], first_scan: bool, last_scan: bool, schema
                     spans_out += lists
             if not names:
                 continue
-            out = [get(c) for c in keep]
-            if last_scan:
-                count = np.array([len(x) for x in names], np.int64)
+            out = list(kept)
+            count = np.array([len(x) for x in names], np.int64)
+            if last_scan and below is not None:
+                mask = pa.array(count < below)
+                out = [c.filter(mask) for c in out]
+            elif last_scan:
                 digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
                 out += [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_hit)), pa.array(count), pa.array(digest), pa.array(count >= 2)]
             else:
-                out += [get("__text"), pa.array(spans_out, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+                out += [text, pa.array(spans_out, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return run
@@ -192,15 +198,19 @@ RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.Long
 CARRIED = [("__text", T.BinaryType()), ("__spans", T.ArrayType(T.LongType())), ("__ids", T.ArrayType(T.StringType()))]
 
 
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Columns `keep` of every document with n_words, n_hit, n_items, items_sha256 and contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", group_bytes: int = GROUP_BYTES, below: int | None = None) -> DataFrame:
+    """Columns `keep` of every document with n_words, n_hit, n_items, items_sha256 and contaminated.
+
+    With `below`, the documents that hold windows of fewer items than that, in the columns `keep` alone.
+    """
     groups = grouped(items, "item_id", "text", group_bytes)
     df = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
     kept = [df.schema[c] for c in keep]
     for k, group in enumerate(groups):
         last = k == len(groups) - 1
-        schema = T.StructType([*kept, *(T.StructField(*x) for x in (RESULT if last else CARRIED))])
-        df = df.mapInArrow(_scan(Windows(group), keep, k == 0, last, to_arrow_schema(schema)), schema)
+        added = ([] if below is not None else RESULT) if last else CARRIED
+        schema = T.StructType([*kept, *(T.StructField(*x) for x in added)])
+        df = df.mapInArrow(_scan(Windows(group), len(keep), k == 0, last, to_arrow_schema(schema), below), schema)
         if not last:
             df = checkpointed(df)
     return df
