@@ -38,7 +38,7 @@ from .suffix import repeated_windows
 
 LENGTH, GRAM = 100, 40
 SPAN = LENGTH - GRAM + 1  # grams in a window
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_500_000
 COMMON_UNITS = 16
 BUCKET_BYTES = 16_000_000
 SA_BYTES = 8_000_000
