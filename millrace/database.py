@@ -142,9 +142,9 @@ class Database:
         df, schema = self._readable(name)
         return query.select(df.orderBy(POS), columns=schema.columns, zone=self.zone)
 
-    def select(self, name: str, where: Where = (), order: Iterable = (), distinct: Sequence[str] = (), limit: int | None = None, offset: int | None = None, project: Sequence[str] | None = None) -> DataFrame:
+    def select(self, name: str, where: Where = (), order: Iterable = (), distinct: Sequence[str] = (), limit: int | None = None, offset: int | None = None, project: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
         df, schema = self._readable(name)
-        return query.select(df, where, order, distinct, limit, offset, project, schema.columns, zone=self.zone, table=name, collation=self.collation)
+        return query.select(df, where, order, distinct, limit, offset, project, schema.columns, zone=self.zone, table=name, collation=self.collation, ordered=ordered)
 
     def count(self, name: str, where: Where = (), distinct: Sequence[str] = ()) -> int:
         conditions = where.conditions if isinstance(where, Filter) else tuple(where)

@@ -64,9 +64,11 @@ def check_slice(limit: int | None, offset: int | None) -> None:
 def select(
     df: DataFrame, where: Filter | Iterable[Condition] = (), order: Iterable = (), distinct: Sequence[str] = (), limit: int | None = None,
     offset: int | None = None, project: Sequence[str] | None = None, columns: dict[str, str] | None = None, tie: Sequence[str] | None = None,
-    zone: str = "UTC", table: str = "", collation: str | None = None,
+    zone: str = "UTC", table: str = "", collation: str | None = None, ordered: bool = False,
 ) -> DataFrame:
-    """The query pipeline.  `tie` names the columns that stand for physical order (default: POS where there is one)."""
+    """The query pipeline.  `tie` names the columns that stand for physical order (default: POS where there is one).
+
+    Without keys or a slice the rows come as the scan has them, unless `ordered` asks for physical order."""
     columns = columns or column_types(df)
     conditions = where.conditions if isinstance(where, Filter) else tuple(where)
     check_slice(limit, offset)
@@ -83,7 +85,7 @@ def select(
         window = Window.partitionBy(*distinct_keys(distinct, columns)).orderBy(*(by or [F.lit(0)]))
         df = df.withColumn("__first", F.row_number().over(window)).where("__first = 1").drop("__first")
     # a slice needs the physical order even where none is asked for
-    if keys or ((limit is not None or offset or distinct) and tie):
+    if keys or ((ordered or limit is not None or offset or distinct) and tie):
         df = df.orderBy(*by)
     if offset:
         df = df.offset(offset)

@@ -64,13 +64,13 @@ class Table:
 
     # ---------------------------------------------------------------------------------------- reading
 
-    def _frame(self, limit: int | None = None, project=None) -> DataFrame:
+    def _frame(self, limit: int | None = None, project=None, ordered: bool = True) -> DataFrame:
         limit = self._limit if limit is None else limit if self._limit is None else min(limit, self._limit)
-        return self.db.select(self.name, self._filter, self._order, self._distinct, limit, self._offset, project)
+        return self.db.select(self.name, self._filter, self._order, self._distinct, limit, self._offset, project, ordered)
 
     def frame(self) -> DataFrame:
-        """The query as a lazy DataFrame."""
-        return self._run(self._frame)
+        """The query as a lazy DataFrame; without keys or a slice its rows are in no order."""
+        return self._run(lambda: self._frame(ordered=False))
 
     def rows(self) -> list[dict]:
         return self._run(lambda: [r.asDict() for r in self._frame().collect()])
@@ -88,7 +88,7 @@ class Table:
     def records(self) -> Iterator:
         """Objects of the registered class, fetched partition by partition."""
         mapped = self.db.records.of(self.name)
-        df = self.frame()
+        df = self._run(self._frame)
         return (mapped.hydrate(r.asDict()) for r in df.toLocalIterator())
 
     def record(self):
