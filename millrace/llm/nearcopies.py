@@ -9,8 +9,9 @@ coordinate have probability equal to the similarity.  ROWS coordinates make a ba
 candidates, and every reported link is verified on the shingles.
 
 Documents with equal shingles are one class and signed once.  Within a band key the classes are linked to their least
-member first.  Verified links make components; only band keys that still hold several components are looked at again, and
-of those only pairs that the triangle inequality of the Jaccard distance to the common least member leaves open.
+member first.  Verified links make components; only band keys that still hold several components are looked at again: in
+small keys those pairs that the triangle inequality of the Jaccard distance to the least member leaves open, in large keys
+all members, block by block, of which a task returns a forest.
 
 Defined results: null texts and texts without words are classes of their own; repeated rows fall in one class; ties in
 rank cannot arise between different darts but by hash; a null doc_id links with nothing; an empty table stays empty.
@@ -32,6 +33,8 @@ K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 SLICE_BYTES, SLICE_DOCS = 2 << 20, 4096
 LOW_BITS = U64(52)
+#: Keys of up to FEW members are compared pair by pair, larger ones in blocks of BLOCK members.
+FEW, BLOCK = 32, 512
 
 
 def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +184,61 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
+def blockwise(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links a, b between components of one key (columns key, cid, comp, n): a forest of them, never all pairs.
+
+    Large keys are dealt to tasks as pairs of blocks.  A task has exact intersections from products of its members'
+    incidence matrix, whose columns are the regions that at least two members hold, a slice of columns at a time.
+    """
+
+    def run(key, tab):
+        i, j = key[1].as_py(), key[2].as_py()
+        at = np.array(tab.column("block").to_pylist())
+        left = np.flatnonzero(at == i)
+        right = left if i == j else np.flatnonzero(at == j)
+        cid, comp = np.array(tab.column("cid").to_pylist(), np.int64), np.array(tab.column("comp").to_pylist(), np.int64)
+        raw = [np.frombuffer(x, U64) for x in tab.column("regions").to_pylist()]
+        size = np.array([len(x) for x in raw], np.int64)
+        values, column, n = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(raw)), size)
+        shared = np.cumsum(n > 1) - 1
+        on = n[column] > 1
+        row, column = row[on], shared[column[on]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 2048
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, [a, a + width])
+            m = np.zeros((len(raw), width), np.float32)
+            m[row[lo:hi], column[lo:hi] - a] = 1
+            both += m[left] @ m[right].T
+        alike = both >= similarity * (size[left][:, None] + size[right][None, :] - both) - 1e-6
+        alike &= comp[left][:, None] != comp[right][None, :]
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while up.setdefault(v, v) != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        edges = []
+        for p, q in zip(*(z.tolist() for z in np.nonzero(alike))):
+            p, q = left[p], right[q]
+            x, y = root(int(comp[p])), root(int(comp[q]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                edges.append((int(cid[p]), int(cid[q])))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    df = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    df = df.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "block")
+    df = df.join(sets.withColumnRenamed("id", "cid"), "cid").select("key", "i", "j", "cid", "comp", "block", "regions")
+    return df.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id, the least doc_id of its component, for every row with a doc_id.
 
@@ -220,14 +278,17 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     far = far.select("key", "cid", "weight", F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(F.col("exact")).alias("d"), F.coalesce("root", "cid").alias("comp"))
     mixed = far.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     x = checkpointed(far.join(mixed, "key"))
-    y = x.select("key", F.col("cid").alias("other"), F.col("weight").alias("w2"), F.col("d").alias("d2"), F.col("comp").alias("comp2"))
-    reach = 1 - similarity + 1e-9
-    near = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= reach, F.lit(True))
-    open_ = x.join(y, "key").where((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("comp2")) & near & alike("weight", "w2"))
+    sizes = checkpointed(x.groupBy("key").agg(F.count("*").alias("n")))
+    few = x.join(sizes.where(F.col("n") <= FEW).select("key"), "key")
+    y = few.select("key", F.col("cid").alias("other"), F.col("weight").alias("w2"), F.col("d").alias("d2"), F.col("comp").alias("comp2"))
+    near = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= 1 - similarity + 1e-9, F.lit(True))
+    open_ = few.join(y, "key").where((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("comp2")) & near & alike("weight", "w2"))
     open_ = open_.select(F.col("other").alias("a"), F.col("cid").alias("b")).distinct()
     # a pivot is the least member of its keys, so a pair that was verified has its pivot second
     open_ = open_.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = checkpointed(verified(open_, sets).where(F.col("similarity") >= similarity).select("a", "b"))
+    more = verified(open_, sets).where(F.col("similarity") >= similarity).select("a", "b")
+    many = x.join(sizes.where(F.col("n") > FEW), "key")
+    more = checkpointed(more.unionByName(blockwise(many, sets, similarity)))
     root = components(links.unionByName(more))
     by_class = classes.select("c1", "c2", "cid").join(root, F.col("cid") == F.col("node"), "left").select("c1", "c2", F.coalesce("root", "cid").alias("class_id"))
     out = worded.select("doc_id", "c1", "c2").join(by_class, ["c1", "c2"]).select("doc_id", "class_id")
