@@ -34,7 +34,7 @@ DARTS = K * np.log(K) + 2 * K
 SLICE_BYTES, SLICE_DOCS = 2 << 20, 4096
 LOW_BITS = U64(52)
 #: Keys of up to FEW members are compared pair by pair, larger ones in blocks of BLOCK members.
-FEW, BLOCK = 32, 512
+FEW, BLOCK = 32, 1024
 
 
 def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
