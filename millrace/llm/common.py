@@ -11,7 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_CACHE: dict = {}
+
+
+class _Local(dict):
+    """Tables that each process makes for itself; empty wherever it is sent."""
+
+    def __reduce__(self):
+        return _Local, ()
+
+
+_CACHE = _Local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _CACHE.setdefault("folder", tempfile.mkdtemp(prefix="millrace-"))
 
 
-def partitions_for(df: DataFrame, rows: int, per: int, least: int = 1) -> int:
-    """Partition count that grows with the data and never falls under the session's shuffle parallelism."""
-    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, session, -(-rows // per))
-
-
 def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
