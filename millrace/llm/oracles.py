@@ -81,5 +81,32 @@ SELECT t.doc_id, coalesce(c.n, 0)::INTEGER AS n_lines, coalesce(r.n_removed, 0):
        sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) c USING (doc_id)
 LEFT JOIN runs r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+    "op10_shard": r"""
+WITH RECURSIVE tab AS (
+  SELECT i::UBIGINT AS i, i::UBIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END, k + 1 FROM tab WHERE k < 8
+), lut AS (SELECT list(v ORDER BY i) AS l FROM tab WHERE k = 8
+), base AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 8 AS size,
+         xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)),
+                         lambda a, b: xor(a // 256, l[(xor(a, b) % 256 + 1)::INT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM documents, lut
+), rows_ AS (SELECT *, row_number() OVER () AS rid FROM base
+), leaves AS (SELECT i AS shard, i // 12 AS region, i // 4 AS rack FROM range(25) r(i)
+), draws AS (
+  SELECT rid, shard, region, rack,
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/' || region || '/' || rack || '/' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) * pow(2.0::DOUBLE, -52)) AS t
+  FROM rows_, leaves
+), placed AS (SELECT rid, shard, t FROM draws WHERE shard < 24 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY t, region, rack, shard) = 1
+), spots AS (
+  SELECT r.*, p.shard::INTEGER AS shard, CASE WHEN d.t < p.t THEN 24 ELSE p.shard END::INTEGER AS grown_shard,
+         ('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, 'null') || '/' || text_crc32 || '/' || size), 1, 13))::BIGINT AS bits
+  FROM rows_ r JOIN placed p USING (rid) JOIN draws d ON d.rid = r.rid AND d.shard = 24
+), n AS (SELECT greatest(16, ceil(max(c) / 50000.0)::BIGINT) AS chunks FROM (SELECT count(*) AS c FROM spots GROUP BY shard)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bits % chunks, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM spots, n
 """,
 }

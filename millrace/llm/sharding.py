@@ -39,10 +39,15 @@ def topology(n_shards: int, weights: dict[int, float] | None = None) -> list[Lea
     return [Leaf(s // per_region, s // SHARDS_PER_RACK, s, weights.get(s, 1.0)) for s in range(n_shards)]
 
 
+def _bits(*texts: Column) -> Column:
+    """52 bits of a hash of the texts, joined by slashes, which SQL engines compute alike."""
+    joined = F.concat_ws("/", *[F.coalesce(t.cast("string"), F.lit("null")) for t in texts])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def _arrival(key: Column, leaf: Leaf) -> Column:
-    h = F.xxhash64(key, F.lit(f"region {leaf.region}/rack {leaf.rack}/shard {leaf.shard}"))
-    # 52 bits of the hash as a number in (0, 1)
-    u = (F.shiftrightunsigned(h, 12).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
+    h = _bits(key, F.lit(f"{leaf.region}/{leaf.rack}/{leaf.shard}"))
+    u = (h.cast("double") + F.lit(0.5)) * F.lit(2.0**-52)  # in (0, 1)
     return -F.log(u) / F.lit(float(leaf.weight))
 
 
@@ -77,8 +82,7 @@ def slots(df: DataFrame, shard: str, order: list[str], rows_per_chunk: int = 50_
     """
     sizes = df.groupBy(shard).agg(F.count("*").alias("__n")).agg(F.max("__n").alias("n"), F.sum("__n").alias("all")).first()
     n_chunks = max(16, -(-(sizes["n"] or 0) // rows_per_chunk))
-    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(n_chunks))
-    df = df.withColumn("__chunk", chunk)
+    df = df.withColumn("__chunk", F.pmod(_bits(*[F.col(c) for c in order]), F.lit(n_chunks)))
     before = Window.partitionBy(shard).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(shard, "__chunk").agg(F.count("*").alias("__n"))
     offsets = offsets.select(shard, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
