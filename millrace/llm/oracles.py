@@ -108,5 +108,48 @@ WITH RECURSIVE tab AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY bits % chunks, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
 FROM spots, n
+""",
+    "op1_repeated_strings": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), w AS (
+  SELECT doc_id, p, md5_number(substr(hx, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 99)) AS p FROM b WHERE length(hx) >= 200)
+), later AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1
+), spans AS (  -- windows that overlap or touch make one run
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS e
+  FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later))
+  GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT b.doc_id, length(hx)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         CASE WHEN starts IS NULL THEN hx ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i:
+           substr(hx, 2 * (CASE WHEN i = 0 THEN 0 ELSE ends[i] END) + 1, 2 * ((CASE WHEN i = len(starts) THEN length(hx) // 2 ELSE starts[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE ends[i] END)))), '') END AS rest
+  FROM b LEFT JOIN cuts USING (doc_id)
+)
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+""",
+    "op2_near_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+""",
+    "op6_near_copies": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM t WHERE len(w) > 0)) GROUP BY ALL
+), n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.8 * (x.n + y.n - m)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
 """,
 }
