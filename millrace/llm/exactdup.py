@@ -342,14 +342,16 @@ def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     got = df.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(size).alias("n")).first()
     total, lo, hi = got["n"] or 0, got["lo"] or 0, got["hi"] or 0
     width = max(1, int((hi - lo + 1) * shard_bytes // max(total, 1)))
-    base = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(0)).cast("long")
+    # doubles keep the order of ids, wherever they lie, and equal ids together
+    base = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(width))), F.lit(0)).cast("long")
     full = df.groupBy(base.alias("b")).agg(F.sum(size).alias("n")).where(F.col("n") > 2 * shard_bytes).orderBy("b").limit(1001).collect()
     if len(full) > 1000:  # ids are crowded: finer ranges everywhere
         return sharded(docs, shard_bytes // 4)
     shard, extra = base, F.lit(0)
     for r in full:
         parts = min(width, -(-r["n"] // shard_bytes))
-        inside = F.floor((F.col("doc_id") - F.lit(lo) - r["b"] * F.lit(width)) * F.lit(parts) / F.lit(width)).cast("long")
+        place = (F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(width)) - F.lit(float(r["b"]))
+        inside = F.least(F.floor(place * F.lit(float(parts))), F.lit(parts - 1)).cast("long")
         extra = extra + F.when(base > r["b"], parts - 1).when(base == r["b"], F.coalesce(inside, F.lit(0))).otherwise(0)
     return df.select((shard + extra).cast("long").alias("shard"), "doc_id", "text"), total
 
