@@ -158,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES) ->
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("__quality"))
     rows = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("text").alias("__text"))
     size = rows.agg(F.avg(F.octet_length("__text")).alias("n")).first()["n"] or 1
-    known = sampled(known, F.lit(float(size)), "doc_id", sample_bytes)
-    share = rows.join(known, "doc_id").select("doc_id", F.col("__text").cast("binary").alias("text"), "__quality")
+    known = sampled(known, F.lit(max(64.0, float(size))), "doc_id", sample_bytes)
+    # of about sample_bytes / 64 ids at most, so that no text is shuffled for them
+    share = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.col("__text").cast("binary").alias("text"), "__quality")
     got = share.toPandas().sort_values(["doc_id", "__quality"], kind="stable")
     return train([bytes(x) for x in got["text"]], got["__quality"].tolist())
 
