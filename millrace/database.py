@@ -36,11 +36,11 @@ Where = Filter | Iterable[Condition]
 class Database:
     """One directory of tables.  Reads are lazy DataFrames over the snapshot at the time of the call."""
 
-    def __init__(self, spark: SparkSession, root: str, zone: str = "UTC", collation: str | None = None, cache: Cache | None = None, lock_timeout: float = 30.0):
+    def __init__(self, spark: SparkSession, root: str, zone: str = "UTC", collation: str | None = None, cache: Cache | None = None, lock_timeout: float = 30.0, logger=None):
         self.spark, self.store = spark, Store(spark, root, lock_timeout)
         self.zone, self.collation = zone, collation
         self.cache: Cache = cache or NullCache()
-        self.backing_policy = "SingleColumn"
+        self.backing_policy, self.logger = "SingleColumn", logger
         self.records = Registry(self)
 
     # ---------------------------------------------------------------------------------------- opening
@@ -677,12 +677,18 @@ class Database:
     def validate(self) -> integrity.Report:
         s = self.snapshot()
         issues = [i for t in s.tables for i in integrity.table_issues(self.store, s, t)]
-        return integrity.Report(issues + integrity.database_issues(self.store, s)).sorted()
+        return self._logged(integrity.Report(issues + integrity.database_issues(self.store, s)).sorted())
 
     def validate_table(self, name: str) -> integrity.Report:
         s = self.snapshot()
         self.store.schema(s, name)
-        return integrity.Report(integrity.table_issues(self.store, s, name)).sorted()
+        return self._logged(integrity.Report(integrity.table_issues(self.store, s, name)).sorted())
+
+    def _logged(self, report: integrity.Report) -> integrity.Report:
+        """Every finding of a validation goes to the logger once, at the level of its severity."""
+        for i in report.issues if self.logger else ():
+            self.logger.log(integrity.LEVELS[i.severity], "%s %s: %s", i.category, i.table or "-", i.message)
+        return report
 
     def repair(self, name: str | None = None) -> integrity.Report:
         """Validates and mends; failures are recorded in the report and never raised."""
@@ -711,14 +717,20 @@ class Database:
         df, schema = self._readable(name)
         ndjson.exported(df, schema).write.text(path)
 
-    def import_ndjson(self, name: str, path: str) -> dict:
-        """Replaces a table by the records of NDJSON files; {rows, broken, odd values}."""
+    def import_ndjson(self, name: str, path: str, broken_lines: str = "Drop") -> dict:
+        """Replaces a table by the records of NDJSON files; {rows, broken, odd values}.
+
+        Lines that are no records are dropped, or with `Refuse` stop the import before anything is written.
+        """
         schema = self.schema(name)
         good, broken = ndjson.split(ndjson.lines(self.spark, path))
+        lost = broken.count()
+        if lost and broken_lines == "Refuse":
+            raise DataError("BrokenRecordBlocksRewrite", count=lost)
         records = ndjson.typed(good, schema)
         odd = records.agg(F.sum(F.size("__odd")).alias("n")).first()["n"] or 0
         rows = self.import_records(name, ndjson.filled(records, schema).orderBy(POS).drop(POS))
-        return {"rows": rows, "broken": broken.count(), "odd": odd}
+        return {"rows": rows, "broken": lost, "odd": odd}
 
     def backup(self, destination: str, check: bool = True) -> str:
         """A .tar.gz of manifest.json, information_schema.json and tables/<name>.ndjson on the driver's disk."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..plans.schema import PK, SERVICE_PREFIX, Index
 from .relational import duplicates, orphans
 
 SEVERITIES = ("critical", "error", "warning", "info")
+LEVELS = {"critical": logging.CRITICAL, "error": logging.ERROR, "warning": logging.WARNING, "info": logging.INFO}
 CATEGORIES = {
     "table_file_missing": "critical", "meta_entry_missing": "critical", "meta_entry_corrupt": "critical", "meta_line_count_drift": "error",
     "meta_last_id_drift": "error", "pk_duplicate": "error", "rename_incomplete": "error", "fk_backing_index_missing": "error", "repair_failed": "error",

@@ -223,7 +223,10 @@ def test_integrity_and_repair(db, spark):
     del raw["meta"]["Docs"]
     files.replace(db.store.path, json.dumps(raw))
     files.mkdirs(files.at("stray"))
+    said = []
+    db.logger = type("L", (), {"log": lambda self, level, text, *args: said.append((level, text % args))})()
     report = db.validate()
+    assert len(said) == len(report.issues) and said[0][0] == 50
     found = {(i.category, i.severity) for i in report.issues}
     assert {("meta_line_count_drift", "error"), ("meta_last_id_drift", "error"), ("meta_orphan_entry", "warning"), ("meta_entry_missing", "critical"), ("orphan_db_entry", "warning"), ("fk_orphan", "info"), ("unique_index_missing", "info")} <= found
     assert report.has_errors() and report.issues[0].severity == "critical" and "fk_orphan" in report.format()
@@ -268,6 +271,9 @@ def test_backup_restore(db, tmp_path):
 def test_ndjson(db, tmp_path):
     lines = ['{"id":1,"title":"a","price":2}', "", "not json", '{"id":2,"title":"b","extra":[1],"ownerId":"7"}', "[1,2]", "5", '{"price":{"x":1},"title":"c","id":3}']
     (tmp_path / "in.ndjson").write_text("\n".join(lines) + '\n{"id":4,"ti')
+    with pytest.raises(DataError) as e:
+        db.import_ndjson("items", f"file://{tmp_path}/in.ndjson", broken_lines="Refuse")
+    assert e.value.code == "BrokenRecordBlocksRewrite"
     got = db.import_ndjson("items", f"file://{tmp_path}/in.ndjson")
     assert got == {"rows": 3, "broken": 4, "odd": 2}
     assert [(r["id"], r["title"], r["price"], r["ownerId"]) for r in db.table("items").rows()] == [(1, "a", 2.0, None), (2, "b", None, None), (3, "c", None, None)]
