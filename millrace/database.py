@@ -27,7 +27,7 @@ from .plans.predicate import Condition, Filter, conjunction
 from .plans.query import POS
 from .plans.schema import PK, SERVICE_PREFIX, Index, Relation, TableDiff, TableSchema, Unique, check_name, check_relation, relation_from_json, relation_to_json
 from .sources import ndjson
-from .sources.store import GENERATION, Meta, Snapshot, Store
+from .sources.store import GENERATION, Meta, Snapshot, Store, folder
 from .table import Table
 
 Where = Filter | Iterable[Condition]
@@ -244,17 +244,22 @@ class Database:
         return WritePlan(snapshot.tables, snapshot.relations, lambda t: self.store.frame(snapshot, t))
 
     def _apply(self, plan: WritePlan, old: Snapshot) -> None:
-        """Writes the new state of every touched table and shows all of them at once."""
-        new = old.copy()
-        finals = {t: plan.final(t) for t in plan.touched()}
-        for t, df in finals.items():
-            plan.check_unique(t, df)
-        for t, df in finals.items():
+        """Writes the new state of every touched table and shows all of them at once.
+
+        Only files that hold a touched row are written anew; where those are most of a table, all of it is, which also
+        gathers what has become scattered.
+        """
+        new, touched = old.copy(), plan.touched()
+        for t in touched:
+            plan.check_unique(t, plan.final(t))
+        for t in touched:
             schema, meta = old.tables[t], new.meta[t]
-            part = self.store.write(df, t, schema)
+            files, every = self.store.files_of(old, t, plan.positions(t)), self.store.all_files(meta)
+            some = 2 * len(files) < len(every)
+            part = self.store.write(plan.final(t, self.store.only(old, t, files) if some else None), t, schema)
             rows = meta.rows - (plan.gone[t].count() if t in plan.gone else 0)
-            new.meta[t] = Meta([part], rows, meta.last_id, meta.next_pos)
-        if finals:
+            new.meta[t] = Meta(self.store.replaced(meta, files, part) if some else [part], rows, meta.last_id, meta.next_pos)
+        if touched:
             self.store.commit(new, old)
 
     def update(self, name: str, where: Where, patch: dict) -> int:
@@ -649,7 +654,7 @@ class Database:
         """Deletes parts that the manifest does not name; readers of earlier snapshots must be done."""
         with self.store.lock:
             snapshot, n = self.snapshot(), 0
-            keep = {p for m in snapshot.meta.values() if m for p in m.parts}
+            keep = {folder(p) for m in snapshot.meta.values() if m for p in m.parts}
             for t in snapshot.tables:
                 for part in self.store.files.names(self.store.files.at(t)):
                     if part.startswith("p-") and not part.endswith(".done") and f"{t}/{part}" not in keep:

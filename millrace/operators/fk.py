@@ -105,9 +105,18 @@ class WritePlan:
     def touched(self) -> list[str]:
         return sorted({*self.gone, *(t for t, _ in self.cells)})
 
-    def final(self, table: str) -> DataFrame:
-        """Rows after the statement with `__changed`."""
-        df = self._fresh(table, self.base(table)).withColumn("__changed", F.lit(False))
+    def positions(self, table: str) -> DataFrame:
+        """Positions of all rows that go or change."""
+        found = [self.gone[table]] if table in self.gone else []
+        found += [cells.select(POS) for (t, _), cells in self.cells.items() if t == table]
+        out = found[0]
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out.distinct()
+
+    def final(self, table: str, base: DataFrame | None = None) -> DataFrame:
+        """Rows of the table, or of the part of it in `base`, after the statement, with `__changed`."""
+        df = self._fresh(table, base if base is not None else self.base(table)).withColumn("__changed", F.lit(False))
         for (t, c), cells in self.cells.items():
             if t != table:
                 continue

@@ -78,7 +78,7 @@ def table_issues(store, snapshot, name: str) -> list[Issue]:
     lost = [p for p in meta.parts if not store.files.exists(store.files.at(p))]
     if lost:
         return [Issue("table_file_missing", name, f"{len(lost)} parts are missing", context={"parts": lost})]
-    named = {p.split("/")[-1] for p in meta.parts}
+    named = {p.split("/")[1] for p in meta.parts}
     for entry in store.files.names(store.files.at(name)):
         if entry not in named and not entry.startswith("p-"):
             out.append(Issue("orphan_index_file", name, f"{entry} is not part of the table", context={"file": entry}))

@@ -3,6 +3,8 @@
     root/_manifest.json            format, version, schemas, relations and, for each table, parts, rows, last_id, next_pos
     root/<table>/<part>/*.parquet  one base part and appended ones; parts never change
 
+A part is named by its folder, or by those of its files that are still valid after a write replaced the others.
+
 A commit writes new parts and then replaces the manifest by one rename, so writes to any number of tables appear at once;
 readers hold on to the parts they began with.  Parts are deleted when neither the new nor the last manifest names them.
 """
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import IoError, SchemaError, TableError
+from ..errors import IoError, TableError
 from ..plans.query import POS
 from ..plans.schema import Relation, TableSchema, relation_from_json, relation_to_json
 from .files import Files, WriterLock
@@ -47,6 +49,11 @@ class Snapshot:
         return Snapshot(self.version, dict(self.tables), self.relations, copy.deepcopy(self.meta), self.generation, self.renaming)
 
 
+def folder(part: str) -> str:
+    """Folder of a part that is named by it or by a file in it."""
+    return "/".join(part.split("/")[:2])
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, lock_timeout: float = 30.0):
         self.spark, self.files = spark, Files(spark, root)
@@ -93,7 +100,7 @@ class Store:
 
     def _sweep(self, new: Snapshot, old: Snapshot) -> None:
         """Parts of the last manifest stay for its readers; those of the one before it go."""
-        keep = {p for s in (new, old) for m in s.meta.values() if m for p in m.parts}
+        keep = {folder(p) for s in (new, old) for m in s.meta.values() if m for p in m.parts}
         for n in {*new.meta, *old.meta}:
             m_new, m_old = new.meta.get(n), old.meta.get(n)
             if m_new is None or m_old is None or m_new.parts == m_old.parts:
@@ -128,12 +135,27 @@ class Store:
         df.write.parquet(self.files.at(part))
         return part
 
-    def restage(self, df: DataFrame, part: str) -> DataFrame:
-        return self.spark.read.schema(df.schema).parquet(self.files.at(part))
+    def files_of(self, snapshot: Snapshot, name: str, rows: DataFrame) -> list[str]:
+        """Data files of a table that hold the rows at the positions in `rows`."""
+        where = self.frame(snapshot, name).select(POS, "_metadata.file_path").join(rows.select(POS), POS, "left_semi")
+        return sorted("/".join(r[0].split("/")[-3:]) for r in where.select("file_path").distinct().collect())
+
+    def all_files(self, meta: Meta) -> list[str]:
+        out = []
+        for p in meta.parts:
+            out += [p] if p.count("/") == 2 else [f"{p}/{n}" for n in self.files.names(self.files.at(p)) if n.endswith(".parquet")]
+        return out
+
+    def only(self, snapshot: Snapshot, name: str, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema(snapshot, name).stored()).parquet(*[self.files.at(f) for f in files])
+
+    def replaced(self, meta: Meta, files: list[str], part: str) -> list[str]:
+        """The parts of a table after the rows of `files` were written anew as `part`."""
+        gone, out = set(files), []
+        for p in meta.parts:
+            own = [p] if p.count("/") == 2 else [f"{p}/{n}" for n in self.files.names(self.files.at(p)) if n.endswith(".parquet")]
+            out += [p] if not gone & set(own) else [f for f in own if f not in gone]
+        return [*out, part]
 
     def name_taken(self, snapshot: Snapshot, name: str) -> bool:
         return name.lower() in {n.lower() for n in snapshot.tables}
-
-    def require_pos(self, df: DataFrame) -> None:
-        if POS not in df.columns:
-            raise SchemaError("PositionMissing")

@@ -317,3 +317,26 @@ def test_append_stream(spark, db, tmp_path):
     append_stream(db, "items", stream, f"{tmp_path}/cp").awaitTermination(60)
     assert sorted(db.table("items").column("title")) == ["s0", "s1", "s2"] and sorted(db.table("items").column("id")) == [1, 2, 3]
     assert append_batch(db, "items", spark.sql("SELECT 'again' AS title"), 0) == 0 and db.count("items") == 3
+
+
+def test_writes_replace_only_the_files_they_touch(db):
+    for k in range(6):
+        db.insert_many("items", [{"ownerId": k, "title": f"t{k}{i}"} for i in range(3)])
+    before = db.snapshot().meta["items"].parts
+    assert db.update("items", [Condition("ownerId", "=", 2)], {"price": 5.0}) == 3
+    after = db.snapshot().meta["items"].parts
+    assert len(after) == 6 and set(before) - set(after) == {before[2]}
+    assert db.delete("items", [Condition("title", "IN", ["t40", "t51"])]) == 2
+    assert len(set(before) & set(db.snapshot().meta["items"].parts)) == 3
+    assert [r["title"] for r in db.table("items").rows()] == [f"t{k}{i}" for k in range(6) for i in range(3) if f"{k}{i}" not in ("40", "51")]
+    assert db.table("items").where("price", "=", 5).column("ownerId") == [2, 2, 2] and db.count("items") == 16
+    db.import_records("items", db.spark.range(1, 401).selectExpr("id", "id AS ownerId", "concat('b', id) AS title").repartition(8))
+    db.update("items", [Condition("ownerId", "=", 7)], {"title": "new"})
+    parts = db.snapshot().meta["items"].parts
+    assert len(parts) == 8 and all(p.count("/") == 2 for p in parts[:-1])  # seven files stay, one is new
+    assert db.count("items", [Condition("title", "=", "new")]) == 1 and db.table("items").frame().count() == 400
+    assert {i.category for i in db.validate().issues} <= {"unique_index_missing"}
+    db.vacuum()
+    assert db.table("items").frame().count() == 400
+    db.optimize("items")
+    assert len(db.snapshot().meta["items"].parts) == 1
