@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, binary_parts, checkpointed, mix, table
-from .graph import components
+from .common import U64, binary_parts, checkpointed, index_ranges, mix, table
+from .graph import components, settle
 
 SIMILARITY, WIDTH, MISS, BLOCK = 0.93, 3.0, 1e-4, 1024
+#: Buckets of up to SMALL vectors are compared pair by pair; a task's group has about GROUP_ROWS rows.
+SMALL, GROUP_ROWS = 32, 20_000
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -108,61 +110,90 @@ def hash_text(x: str) -> int:
     return h
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = int(self.up[i])
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def _compared(members: DataFrame, n_hashes: int, n_tables: int, seed: int, similarity: float) -> DataFrame:
-    """a, b, n: links of class a (b null), or an edge of the forest (n = 0)."""
-
-    def run(key, frame):
-        number, i, j = int(frame["table_no"].iloc[0]), int(key[2].as_py()), int(key[3].as_py())
-        frame = frame.sort_values("cid", kind="stable")
-        cid, mult, block = frame["cid"].to_numpy(), frame["mult"].to_numpy(), frame["block"].to_numpy()
-        x = np.frombuffer(b"".join(frame["unit"]), np.float64).reshape(len(frame), -1)
-        keys = _keys(x, n_hashes, n_tables, seed)[:, :number] if number else None
-        links, forest, edges = np.zeros(len(frame), np.int64), _Forest(len(frame)), []
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        for part in np.array_split(left, max(1, len(left) // 256)):
-            p, q = np.nonzero(x[part] @ x[right].T >= similarity)
-            p, q = part[p], right[q]
-            on = p < q if i == j else np.ones(len(p), bool)
-            p, q = p[on], q[on]
-            if number and len(p):  # met in an earlier table already
-                fresh = np.ones(len(p), bool)
-                for a in range(0, len(p), 100_000):
-                    fresh[a : a + 100_000] = ~(keys[p[a : a + 100_000]] == keys[q[a : a + 100_000]]).any(1)
-                p, q = p[fresh], q[fresh]
-            np.add.at(links, p, mult[q])
-            np.add.at(links, q, mult[p])
-            for a, b in zip(p.tolist(), q.tolist()):
-                if forest.join(a, b):
-                    edges.append((cid[a], cid[b]))
-        some = np.flatnonzero(links)
-        a = np.concatenate([cid[some], np.array([e[0] for e in edges], np.int64)])
-        b = pa.array([None] * len(some) + [int(e[1]) for e in edges], pa.int64())
-        n = np.concatenate([links[some], np.zeros(len(edges), np.int64)])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": pa.array(n, pa.int64())})
-
-    def arrow(key, tab):
-        return run(key, tab.to_pandas())
-
-    return members.groupBy("key", "table_no", "i", "j").applyInArrow(arrow, "a long, b long, n long")
+def _pairs_of(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs p < q of positions within each run of rows."""
+    row = index_ranges(start, size)
+    left = np.repeat(start + size, size) - row - 1  # rows of the run behind each row
+    return np.repeat(row, left), index_ranges(row + 1, left)
+
+
+def _alike(x: np.ndarray, start: np.ndarray, size: np.ndarray, split: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in one run whose cosine is high enough.
+
+    `split` is the number of leading rows of a run that are compared with the others only (a pair of different blocks),
+    or 0 where all rows are compared with each other.
+    """
+    out_p, out_q = [], []
+    small = np.flatnonzero((size <= SMALL) & (split == 0))
+    p, q = _pairs_of(start[small], size[small])
+    for a in range(0, len(p), 20_000):
+        i, j = p[a : a + 20_000], q[a : a + 20_000]
+        on = np.einsum("ij,ij->i", x[i], x[j]) >= similarity
+        out_p.append(i[on])
+        out_q.append(j[on])
+    for k in np.flatnonzero((size > SMALL) | (split > 0)).tolist():
+        rows = np.arange(start[k], start[k] + size[k])
+        left, right = (rows[: split[k]], rows[split[k] :]) if split[k] else (rows, rows)
+        for a in range(0, len(left), 256):
+            i, j = np.nonzero(x[left[a : a + 256]] @ x[right].T >= similarity)
+            i, j = left[a + i], right[j]
+            on = slice(None) if split[k] else i < j
+            out_p.append(i[on])
+            out_q.append(j[on])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_p or none), np.concatenate(out_q or none)
+
+
+def _compared(members: DataFrame, n_groups: int, n_hashes: int, n_tables: int, seed: int, similarity: float) -> DataFrame:
+    """a, b, n: n links of class a (b null), or an edge of a forest (n = 0).
+
+    Buckets and pairs of blocks are dealt to groups by hash, so that a task meets many small buckets at a time.
+    """
+
+    def run(key, tab):
+        get = lambda name: tab.column(name).to_numpy()
+        units = tab.column("unit").combine_chunks()
+        links, us, vs = [], [], []
+        for at in _same_length(units):
+            number, bucket, i, j, cid, mult, block = (get(c)[at] for c in ("table_no", "key", "i", "j", "cid", "mult", "block"))
+            order = np.lexsort((cid, block != i, j, i, bucket, number))
+            number, bucket, i, j, cid, mult, block = (z[order] for z in (number, bucket, i, j, cid, mult, block))
+            x = _rows(units.take(pa.array(at[order])))
+            new = np.ones(len(at), bool)
+            new[1:] = (number[1:] != number[:-1]) | (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(at)))
+            split = np.where(i[start] != j[start], np.add.reduceat(block == i, start), 0)
+            none_left = (i[start] != j[start]) & (split == 0)
+            start, size, split = start[~none_left], size[~none_left], split[~none_left]
+            p, q = _alike(x, start, size, split, similarity)
+            # a pair that met in an earlier table was counted there
+            fresh = np.ones(len(p), bool)
+            rows, where = np.unique(np.concatenate([p, q]), return_inverse=True)
+            keys = _keys(x[rows], n_hashes, n_tables, seed)
+            later = np.arange(n_tables)[None, :] >= number[p][:, None] if len(p) < 200_000 else None
+            for a in range(0, len(p), 200_000):
+                e = min(len(p), a + 200_000)
+                after = later[a:e] if later is not None else np.arange(n_tables)[None, :] >= number[p[a:e]][:, None]
+                same = keys[where[a:e]] == keys[where[len(p) + a : len(p) + e]]
+                fresh[a:e] = ~(same & ~after).any(1)
+            p, q = p[fresh], q[fresh]
+            n = np.zeros(len(at), np.int64)
+            np.add.at(n, p, mult[q])
+            np.add.at(n, q, mult[p])
+            some = np.flatnonzero(n)
+            ids, inverse = np.unique(cid[some], return_inverse=True)
+            links.append((ids, np.bincount(inverse, weights=n[some], minlength=len(ids)).astype(np.int64)))
+            u, v = settle(cid[p], cid[q])
+            us.append(u)
+            vs.append(v)
+        ids, n = (np.concatenate(z) for z in zip(*links))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        b = pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(v, pa.int64())])
+        return pa.table({"a": pa.array(np.concatenate([ids, u]), pa.int64()), "b": b, "n": pa.array(np.concatenate([n, np.zeros(len(u), np.int64)]))})
+
+    dealt = members.withColumn("__group", F.pmod(F.xxhash64("key", "table_no", "i", "j"), F.lit(n_groups)))
+    return dealt.groupBy("__group").applyInArrow(run, "a long, b long, n long")
 
 
 def near_embeddings(df: DataFrame, similarity: float = SIMILARITY, seed: int = 17, block: int = BLOCK) -> DataFrame:
@@ -192,7 +223,8 @@ def near_embeddings(df: DataFrame, similarity: float = SIMILARITY, seed: int = 1
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "table_no", "cid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     members = met.join(units.select("cid", "unit", "mult"), "cid")
-    found = checkpointed(_compared(members, n_hashes, n_tables, seed, similarity))
+    n_groups = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * n_tables // GROUP_ROWS))
+    found = checkpointed(_compared(members, n_groups, n_hashes, n_tables, seed, similarity))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     root = components(found.where("b IS NOT NULL"))
     by_class = classes.select("__code", "cid", "least", "mult").join(links, "cid", "left").join(root, F.col("cid") == F.col("node"), "left")

@@ -17,12 +17,8 @@ from .common import checkpointed
 TASK_EDGES = 1_000_000
 
 
-def _settled(batches):
-    """Union-find over all batches: (node, root) of every node that is not its own root."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    u, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def settle(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node that is not its own root: the least node that the edges u, v connect it to."""
     names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     root = np.arange(len(names))
@@ -34,7 +30,14 @@ def _settled(batches):
         while (root[root] != root).any():
             root = root[root]
     on = np.flatnonzero(root != np.arange(len(names)))
-    yield pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(names[root[on]])], ["node", "root"])
+    return names[on], names[root[on]]
+
+
+def _settled(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        node, root = settle(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
