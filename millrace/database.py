@@ -263,17 +263,14 @@ class Database:
             self.store.commit(new, old)
 
     def update(self, name: str, where: Where, patch: dict) -> int:
-        """Rows that matched, changed or not; an `id` in the patch is passed over."""
+        """Rows that matched, changed or not; an `id` in the patch and keys that are no columns are passed over."""
         conditions = where.conditions if isinstance(where, Filter) else tuple(where)
         with self.store.lock:
             old = self.snapshot()
             schema = self.store.schema(old, name)
+            predicate = conjunction(conditions, schema.columns, self.zone, name, self.collation)
             values = self._encoded(schema, patch, partial=True)
-            unknown = [c for c in patch if c not in schema.columns]
-            if unknown:
-                raise DataError("UnknownColumn", table=name, column=unknown[0])
             df = self.stored(name, old)
-            predicate = conjunction(conditions, schema.columns, self.zone, name, self.collation)
             rows = df.where(predicate) if predicate is not None else df
             matched = rows.count()
             if not matched or not values:

@@ -31,7 +31,7 @@ def test_insert_select_update_delete(db):
     t = db.table("items")
     assert [r["title"] for r in t.where("ownerId", "=", 2).order_by("price", "desc").rows()] == ["t21", "t20"]
     assert len(t.rows()) == 6  # the builder starts anew
-    assert t.where("price", ">", 0).update({"price": None, "id": 99}) == 3 and t.affected_rows() == 3
+    assert t.where("price", ">", 0).update({"price": None, "id": 99, "nowhere": 1}) == 3 and t.affected_rows() == 3
     assert t.where("price", ">", 0, negated=True).count() == 6
     assert t.delete_by_id(1) == 1 and db.count("items") == 5 and db.last_id("items") == 6
     assert db.insert("items", {"ownerId": None, "title": "n"}) == 7
