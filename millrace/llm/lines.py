@@ -16,7 +16,7 @@ and different texts are ordered by a hash of the text; a null doc_id is the smal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -30,27 +30,37 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__doc", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """__lines: all lines; __full: the positions of lines that are not blank."""
-    df = df.withColumn("__lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1)))
-    spots = F.filter(F.transform("__lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    return df.withColumn("__full", spots)
+def _split(text: Column) -> Column:
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
+
+
+def _dense(spots: Column, n: Column) -> Column:
+    """n flags, true at the ascending positions `spots`, in time linear in n."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(spots, F.lit(1), F.greatest(F.size(spots) - 1, F.lit(0))))
+    gaps = F.zip_with(spots, before, lambda s, b: F.concat(F.array_repeat(F.lit(False), s - b - 1), F.array(F.lit(True))))
+    tail = n - 1 - F.element_at(spots, -1)
+    return F.when(F.size(spots) == 0, F.array_repeat(F.lit(False), n)).otherwise(F.concat(F.flatten(gaps), F.array_repeat(F.lit(False), tail)))
 
 
 def windows(docs: DataFrame, run_lines: int) -> DataFrame:
     """One row per window of lines: __doc, at, spot and fp (the selected line and its hash), own, k1, k2."""
-    df = _lines(_identified(docs.select("doc_id", "text")))
-    first = F.transform("__full", lambda i: F.xxhash64(F.get("__lines", i)))
-    second = F.transform("__full", lambda i: F.xxhash64(F.lit("second"), F.get("__lines", i)))
+    df = _identified(docs.select("doc_id", "text"))
+    full = F.filter(_split(F.col("text")), lambda x: F.trim(x) != "")
+    first, second = F.transform(full, lambda x: F.xxhash64(x)), F.transform(full, lambda x: F.xxhash64(F.lit("second"), x))
     df = df.select("__doc", first.alias("h1"), second.alias("h2")).where(F.size("h1") >= run_lines)
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("h1") - (run_lines - 1)), lambda i: F.array_min(F.slice("h1", i, run_lines))))
-    df = df.select("__doc", "h1", "h2", at.alias("at", "fp"))
-    slice_of = lambda c: F.slice(c, F.col("at") + 1, run_lines)
-    spot = F.col("at") + F.array_position(slice_of("h1"), F.col("fp")) - 1
-    before = F.slice("h1", F.greatest(F.col("at"), F.lit(1)), run_lines)
-    earlier = F.col("at") - 1 + F.array_position(before, F.array_min(before)) - 1
-    own = F.when((F.col("at") > 0) & (earlier == spot), 0).otherwise(1)  # each selected position counts once
-    return df.select("__doc", "at", "fp", own.alias("own"), F.xxhash64(slice_of("h1")).alias("k1"), F.xxhash64(slice_of("h2")).alias("k2"))
+
+    def window(i: Column) -> Column:  # i counts from 1
+        here, before = F.slice("h1", i, run_lines), F.slice("h1", F.greatest(i - 1, F.lit(1)), run_lines)
+        spot = i + F.array_position(here, F.array_min(here))
+        earlier = i - 1 + F.array_position(before, F.array_min(before))
+        own = F.when((i > 1) & (earlier == spot), 0).otherwise(1)  # each selected position counts once
+        return F.struct(
+            (i - 1).alias("at"), F.array_min(here).alias("fp"), own.alias("own"), F.xxhash64(here).alias("k1"), F.xxhash64(F.slice("h2", i, run_lines)).alias("k2")
+        )
+
+    # the windows are made inside the row, so that no row but theirs carries a whole document's hashes
+    made = F.transform(F.sequence(F.lit(1), F.size("h1") - (run_lines - 1)), window)
+    return df.select("__doc", F.explode(made).alias("w")).select("__doc", "w.*")
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -74,13 +84,16 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     hits = repeated(docs, run_lines).select(F.col("__doc").alias("__hit"), "starts")
     packed = docs.select(F.struct("*").alias("__row"), "doc_id", "text")
     df = _identified(packed).join(hits, F.col("__doc").eqNullSafe(F.col("__hit")), "left")
-    df = _lines(df)
+    # functions that walk two arrays side by side instead of looking positions up keep very long texts linear
+    df = df.withColumn("__lines", _split(F.col("text")))
+    full = F.filter(F.transform("__lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     dropped = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run_lines - 1)))))
-    df = df.withColumn("__drop", F.coalesce(dropped, F.array().cast("array<int>")))
-    gone = F.transform("__drop", lambda i: F.get("__full", i))
-    df = df.withColumn("__gone", gone)
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    runs = F.size(F.filter("__drop", lambda i: ~F.array_contains("__drop", i - 1)))
+    df = df.withColumn("__full", full).withColumn("__drop", F.coalesce(dropped, F.array().cast("array<int>")))
+    df = df.withColumn("__gone_full", _dense(F.col("__drop"), F.size("__full")))
+    gone = F.filter(F.zip_with("__full", "__gone_full", lambda i, g: F.when(g, i)), lambda i: i.isNotNull())
+    df = df.withColumn("__gone", gone).withColumn("__gone_lines", _dense(F.col("__gone"), F.size("__lines")))
+    kept = F.array_join(F.filter(F.zip_with("__lines", "__gone_lines", lambda x, g: F.when(~g, x)), lambda x: x.isNotNull()), "\n")
+    runs = F.size(F.filter(F.zip_with("__gone_full", F.concat(F.array(F.lit(False)), "__gone_full"), lambda g, b: F.coalesce(g, F.lit(False)) & ~F.coalesce(b, F.lit(False))), lambda x: x))
     kept_text = F.when(F.size("__drop") == 0, F.col("text")).otherwise(kept)
     cols = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in EXTRA]
     return df.select(*cols, F.size("__full").alias("n_lines"), F.size("__drop").alias("n_removed"), runs.alias("n_runs"), kept_text.alias("kept_text"))
