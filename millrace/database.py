@@ -65,6 +65,11 @@ class Database:
     def exists(spark: SparkSession, root: str) -> bool:
         return Store(spark, root).exists()
 
+    def break_lock(self) -> None:
+        """Removes the lock file of a writer that died; only for use when no writer is alive."""
+        if self.store.files.exists(self.store.lock.path):
+            self.store.files.delete(self.store.lock.path)
+
     def set_collation(self, collation: str | None) -> None:
         """None orders text by bytes; a collation such as UNICODE affects order and ranges only."""
         self.collation = collation

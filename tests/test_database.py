@@ -340,3 +340,44 @@ def test_writes_replace_only_the_files_they_touch(db):
     assert db.table("items").frame().count() == 400
     db.optimize("items")
     assert len(db.snapshot().meta["items"].parts) == 1
+
+
+def test_one_writer_at_a_time(spark, root):
+    from millrace.errors import LockError
+
+    db, other = Database.create(spark, root), Database.open(spark, root, lock_timeout=0.2)
+    db.create_table(TableSchema.create("t", {"a": "int"}))
+    with db.store.lock:
+        with pytest.raises(LockError):
+            other.insert("t", {"a": 1})
+        assert other.count("t") == 0  # readers need no lock
+        db.insert("t", {"a": 2})
+    assert other.insert("t", {"a": 3}) == 2
+    db.store.files.write(db.store.lock.path, "")  # a writer that died
+    with pytest.raises(LockError):
+        other.insert("t", {"a": 4})
+    other.break_lock()
+    assert other.insert("t", {"a": 4}) == 3
+
+
+def test_formats_from_the_future_are_refused(db):
+    raw = json.loads(db.store.files.read(db.store.path))
+    raw["format"]["incompat"].append("new-thing")
+    db.store.files.replace(db.store.path, json.dumps(raw))
+    with pytest.raises(StoreError) as e:
+        db.count("items")
+    assert e.value.code == "StorageFormatUnknown"
+
+
+def test_storage_status_and_messages(db):
+    from millrace.errors import English, Russian
+
+    assert db.storage_status()["generation"] == 2 and db.migrate_storage() == {"from": 2, "to": 2}
+    try:
+        StoreError.set_locale(Russian())
+        with pytest.raises(TableError, match="нет таблицы"):
+            db.table("nowhere")
+    finally:
+        StoreError.set_locale(English())
+    with pytest.raises(TableError, match="there is no table nowhere"):
+        db.table("nowhere")
