@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .database import Database
+from .errors import StoreError
 from .operators.relational import Edge, closure, duplicates, orphans, patched, referring, set_null, without
 from .plans import query
 from .plans.predicate import Condition, Filter, conjunction
+from .plans.schema import Index, Relation, TableSchema, Unique
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,6 +241,123 @@ def _two_step(spark, sf):
     return dear.join(parents, dear["o_custkey"] == parents["c_custkey"]).select("o_orderkey", "c_name")
 
 
+# ------------------------------------------------------------------------------------------------ the store itself
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where the session names none (local runs)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/store-{uuid.uuid4().hex}"
+
+
+def _shop(spark: SparkSession, sf: str, on_delete: str = "cascade", on_update: str = "noAction") -> Database:
+    """customers and orders in a database of their own, joined by a relation on the customer's code."""
+    db = Database.create(spark, _folder(spark))
+    db.create_table(TableSchema.create("customers", {"code": "int", "name": "string", "balance": "float"}, uniques=[Unique("u_code", ("code",))]))
+    db.create_table(TableSchema.create("orders", {"customer": "int|null", "status": "string", "total": "float"}, [Index.on("by_customer", "customer")]))
+    db.import_records("customers", _table(spark, sf, "customer").selectExpr("c_custkey + 1 AS id", "c_custkey AS code", "c_name AS name", "c_acctbal AS balance"))
+    db.import_records("orders", _table(spark, sf, "orders").selectExpr("o_orderkey + 1 AS id", "o_custkey AS customer", "o_orderstatus AS status", "o_totalprice AS total"))
+    db.add_relation(Relation.declared("orders", "customer", "customers", "code", on_delete=on_delete, on_update=on_update))
+    return db
+
+
+_STORED = "SELECT o_orderkey + 1 AS id, o_custkey AS customer, o_orderstatus AS status, o_totalprice AS total FROM orders"
+
+_add("store_import", _STORED)(lambda spark, sf: _shop(spark, sf).read_all("orders"))
+
+
+@_add("store_builder_page", f"SELECT id, total FROM ({_STORED}) WHERE status = 'O' AND total BETWEEN 1000 AND 200000 ORDER BY total DESC, id LIMIT 25 OFFSET 50")
+def _store_page(spark, sf):
+    t = _shop(spark, sf).table("orders").where("status", "=", "O").where("total", "BETWEEN", [1000, 200000])
+    return t.order_by("total", "desc").order_by("id").limit(25).offset(50).frame().select("id", "total")
+
+
+@_add("store_insert", f"SELECT id, total FROM ({_STORED}) WHERE total > 400000 UNION ALL SELECT (SELECT max(o_orderkey) + 1 FROM orders) + i, 500000.0 + i FROM range(1, 4) r(i)")
+def _store_insert(spark, sf):
+    db = _shop(spark, sf)
+    db.insert_many("orders", [{"customer": None, "status": "N", "total": 500000.0 + i} for i in (1, 2, 3)])
+    return db.select("orders", [Condition("total", ">", 400000)], project=["id", "total"])
+
+
+@_add("store_update", f"SELECT id, CASE WHEN total > 300000 THEN 'X' ELSE status END AS status FROM ({_STORED})")
+def _store_update(spark, sf):
+    db = _shop(spark, sf)
+    db.table("orders").where("total", ">", 300000).update({"status": "X"})
+    return db.select("orders", project=["id", "status"])
+
+
+@_add("store_delete_cascade", f"SELECT id, customer FROM ({_STORED}) WHERE customer NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def _store_cascade(spark, sf):
+    db = _shop(spark, sf)
+    db.delete("customers", [Condition("balance", "<", 0)])
+    return db.select("orders", project=["id", "customer"])
+
+
+@_add("store_delete_set_null", f"SELECT id, CASE WHEN customer IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN NULL ELSE customer END AS customer FROM ({_STORED})")
+def _store_set_null(spark, sf):
+    db = _shop(spark, sf, on_delete="setNull")
+    db.delete("customers", [Condition("balance", "<", 0)])
+    return db.select("orders", project=["id", "customer"])
+
+
+@_add("store_update_cascade", f"SELECT id, CASE WHEN customer = 7 THEN -7 ELSE customer END AS customer FROM ({_STORED})")
+def _store_update_cascade(spark, sf):
+    db = _shop(spark, sf, on_update="cascade")
+    db.update("customers", [Condition("code", "=", 7)], {"code": -7})
+    return db.select("orders", project=["id", "customer"])
+
+
+@_add("store_restrict", "SELECT 'ForeignKeyRestricted' AS code, (SELECT count(*) FROM customer) AS customers")
+def _store_restrict(spark, sf):
+    db, code = _shop(spark, sf, on_delete="restrict"), "none"
+    try:
+        db.delete("customers", [Condition("balance", "<", 0)])
+    except StoreError as e:
+        code = e.code
+    return spark.createDataFrame([(code, db.count("customers"))], "code string, customers long")
+
+
+@_add("store_schema_changes", f"SELECT id, 0::BIGINT AS points, total AS amount, NULL::VARCHAR AS note FROM ({_STORED})")
+def _store_schema_changes(spark, sf):
+    db = _shop(spark, sf)
+    db.drop_relation(db.relations()[0])
+    db.drop_index("orders", "by_customer")
+    db.migrate("orders", {"total": "float", "note": "string|null", "points": "int"})
+    db.rename_column("orders", "total", "amount")
+    db.reorder_columns("orders", ["points", "amount", "note"])
+    db.rename_table("orders", "sales")
+    db.optimize("sales")
+    return db.read_all("sales")
+
+
+@_add("store_backup_restore", f"SELECT * FROM ({_STORED}) WHERE status <> 'P'")
+def _store_backup(spark, sf):
+    db = _shop(spark, sf)
+    db.delete("orders", [Condition("status", "=", "P")])
+    with tempfile.TemporaryDirectory() as d:  # archives are files of the driver
+        archive = db.backup(f"{d}/a.tar.gz")
+        db.truncate("orders")
+        db.restore(archive)
+    return db.read_all("orders")
+
+
+@_add("store_ndjson", _STORED)
+def _store_ndjson(spark, sf):
+    db, other = _shop(spark, sf), _folder(spark)
+    db.export_ndjson("orders", other)
+    db.truncate("orders")
+    db.import_ndjson("orders", other)
+    return db.read_all("orders")
+
+
+@_add("store_validate", "SELECT 'fk_orphan' AS category, 'info' AS severity, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))::VARCHAR AS found UNION ALL SELECT 'unique_index_missing', 'info', 'no'")
+def _store_validate(spark, sf):
+    db = _shop(spark, sf, on_delete="noAction")
+    db.delete("customers", [Condition("balance", "<", 0)])
+    rows = [(i.category, i.severity, i.message.split()[0]) for i in db.validate().issues]
+    return spark.createDataFrame(rows, "category string, severity string, found string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest finished orders."""
     where = [Condition("o_orderstatus", "=", "F"), Condition("o_totalprice", ">", 100000)]
