@@ -80,6 +80,17 @@ def runs(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def bites(batches, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `limit` bytes of a binary column (a longer value stands alone), without copies.
+
+    Spark's batches hold up to 64 MB; what is made of them a piece at a time needs memory for the piece only.
+    """
+    for batch in batches:
+        _, off = binary_parts(batch.column(column))
+        for i, j in runs(off, limit):
+            yield batch.slice(i, j - i)
+
+
 def powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept per worker and grown on demand."""
     got = _CACHE.get(("pow", base))

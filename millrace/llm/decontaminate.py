@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BASE, U64, binary_parts, checkpointed, index_ranges, lower_ascii, mix, prefix_sums, runs, span_hash, table, word_spans
+from .common import BASE, U64, binary_parts, bites, checkpointed, index_ranges, lower_ascii, mix, prefix_sums, runs, span_hash, table, word_spans
 
 WINDOW = 8
 #: Benchmark text that a scan holds; larger benchmarks are scanned in groups of this size.
@@ -134,7 +134,7 @@ def _scan(w: Windows, n_keep: int, first_scan: bool, last_scan: bool, schema: pa
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in bites(batches, n_keep):
             kept, text, carried = batch.columns[:n_keep], batch.column(n_keep), batch.columns[n_keep + 1 :]
             raw, off = binary_parts(text)
             n_words, n_hit, names = [], [], []

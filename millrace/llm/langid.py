@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import binary_parts, held_out, index_ranges, runs, table
+from .common import binary_parts, bites, held_out, index_ranges, runs, table
 
 BUCKETS, DIMS, ORDERS = 1 << 13, 16, (2, 3, 4)
 SAMPLE_BYTES = 12_000_000
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], only_accepte
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in bites(batches, len(keep)):
             raw, off = binary_parts(batch.column(len(keep)))
             if model is None:
                 langs, score, rejected = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)

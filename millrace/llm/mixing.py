@@ -12,6 +12,8 @@ rows are packed one after another; an empty table gives an empty result; reruns
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,10 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, binary_parts, checkpointed, mix, runs, table
+from .common import U64, binary_parts, bites, checkpointed, mix, runs, table
 
-#: Longest run of characters that are not white space.
-WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 
 
@@ -86,6 +86,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -111,7 +112,7 @@ def sized(df: DataFrame, keep: list[str], text: str = "text", name: str = "size"
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in bites(batches, len(keep)):
             size = count_words(*binary_parts(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size)], schema=arrow)
 
@@ -224,11 +225,24 @@ def mixed_texts(docs: DataFrame, block_words: int = 128, **options) -> DataFrame
     body = body.withColumn("b_nth", F.row_number().over(Window.partitionBy("b_id", "b_key", "b_size").orderBy("b_text")))
     on = [F.col(x).eqNullSafe(F.col(y)) for x, y in (("b_id", "doc_id"), ("b_key", "__key"), ("b_size", "size"), ("b_nth", "__nth"))]
     both = body.join(pieces, on)
-    words = F.regexp_extract_all("b_text", F.lit(WORD), F.lit(0))
-    cut = F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int"))))
-    both = both.withColumn("__new", F.when(F.col("__got") == F.col("b_size"), F.col("b_text")).otherwise(F.array_join(cut, " ")))
-    new = {"text": F.col("__new"), "n_chars": F.char_length("__new").cast("long")}
-    return both.select(*[new.get(c, F.col("b_row").getField(c)).alias(c) for c in cols])
+    whole = F.col("__got") == F.col("b_size")
+    spans = F.when(~whole, F.flatten(F.transform("__spans", lambda s: F.array(s["from_word"], s["to_word"]))))
+    given = both.select(*[F.col("b_row").getField(c).alias(c) for c in cols], F.col("b_text").cast("binary").alias("__text"), spans.alias("__cut"))
+    schema = docs.schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in bites(batches, len(cols)):
+            texts = []
+            for text, cut in zip(batch.column(len(cols)).to_pylist(), batch.column(len(cols) + 1).to_pylist()):
+                if cut is not None:
+                    words = _WORDS.findall(text)
+                    text = b" ".join(w for a, b in zip(cut[::2], cut[1::2]) for w in words[a:b])
+                texts.append(text.decode("utf-8"))
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c].cast(arrow.field(c).type) if c in new else batch.column(k) for k, c in enumerate(cols)], schema=arrow)
+
+    return given.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

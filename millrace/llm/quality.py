@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import binary_parts, held_out, runs, table
+from .common import binary_parts, bites, held_out, runs, table
 from .langid import sampled
 
 WIDTH, FILTERS, CHUNK, STRIDE = 5, 12, 256, 192
@@ -172,7 +172,7 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in bites(batches, len(keep)):
             raw, off = binary_parts(batch.column(len(keep)))
             score = np.full(batch.num_rows, 0.5) if model is None else model.score(raw, off)
             out = [batch.column(i) for i in range(len(keep))]
