@@ -80,6 +80,13 @@ def runs(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def with_text(df: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
+    """Columns `keep` of df and where the text stands among them; it is added as bytes only where it is not kept."""
+    if text in keep:
+        return df.select(*keep), keep.index(text)
+    return df.select(*keep, F.col(text).cast("binary").alias("__text")), len(keep)
+
+
 def bites(batches, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of a binary column (a longer value stands alone), without copies.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BASE, U64, binary_parts, bites, checkpointed, index_ranges, lower_ascii, mix, prefix_sums, runs, span_hash, table, word_spans
+from .common import BASE, U64, binary_parts, bites, checkpointed, index_ranges, lower_ascii, mix, prefix_sums, runs, span_hash, table, with_text, word_spans
 
 WINDOW = 8
 #: Benchmark text that a scan holds; larger benchmarks are scanned in groups of this size.
@@ -127,15 +127,15 @@ def find(low: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray, tupl
     return first, (doc[exact], begin[exact], cand[exact])
 
 
-def _scan(w: Windows, n_keep: int, first_scan: bool, last_scan: bool, schema: pa.Schema, below: int | None):
+def _scan(w: Windows, n_keep: int, at: int, first_scan: bool, last_scan: bool, schema: pa.Schema, below: int | None):
     """One scan: adds the hits of a group of windows to those of earlier scans; the last one makes the result.
 
     With `below`, only the kept columns of documents with fewer items than that are returned.
     """
 
     def run(batches):
-        for batch in bites(batches, n_keep):
-            kept, text, carried = batch.columns[:n_keep], batch.column(n_keep), batch.columns[n_keep + 1 :]
+        for batch in bites(batches, at):
+            kept, text, carried = batch.columns[:n_keep], batch.column(at), batch.columns[max(n_keep, at + 1) :]
             raw, off = binary_parts(text)
             n_words, n_hit, names = [], [], []
             spans_out = []
@@ -176,7 +176,8 @@ def _scan(w: Windows, n_keep: int, first_scan: bool, last_scan: bool, schema: pa
                 digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
                 out += [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_hit)), pa.array(count), pa.array(digest), pa.array(count >= 2)]
             else:
-                out += [text, pa.array(spans_out, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+                out += [] if at < n_keep else [text]
+                out += [pa.array(spans_out, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return run
@@ -204,13 +205,13 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
     With `below`, the documents that hold windows of fewer items than that, in the columns `keep` alone.
     """
     groups = grouped(items, "item_id", "text", group_bytes)
-    df = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    df, at = with_text(docs, keep, text)
     kept = [df.schema[c] for c in keep]
     for k, group in enumerate(groups):
         last = k == len(groups) - 1
-        added = ([] if below is not None else RESULT) if last else CARRIED
+        added = ([] if below is not None else RESULT) if last else CARRIED[at < len(keep) :]
         schema = T.StructType([*kept, *(T.StructField(*x) for x in added)])
-        df = df.mapInArrow(_scan(Windows(group), len(keep), k == 0, last, to_arrow_schema(schema), below), schema)
+        df = df.mapInArrow(_scan(Windows(group), len(keep), at, k == 0, last, to_arrow_schema(schema), below), schema)
         if not last:
             df = checkpointed(df)
     return df

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import binary_parts, bites, held_out, index_ranges, runs, table
+from .common import binary_parts, bites, held_out, index_ranges, runs, table, with_text
 
 BUCKETS, DIMS, ORDERS = 1 << 13, 16, (2, 3, 4)
 SAMPLE_BYTES = 12_000_000
@@ -201,13 +201,13 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, keep: list[str], only_accepted: bool = False) -> DataFrame:
     """Columns `keep` with lang_pred, score and rejected; or just the rows that are not rejected, without these."""
     added = [] if only_accepted else [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    source = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
+    source, at = with_text(docs, keep)
     schema = T.StructType([*(source.schema[c] for c in keep), *added])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in bites(batches, len(keep)):
-            raw, off = binary_parts(batch.column(len(keep)))
+        for batch in bites(batches, at):
+            raw, off = binary_parts(batch.column(at))
             if model is None:
                 langs, score, rejected = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             else:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, binary_parts, bites, checkpointed, mix, runs, table
+from .common import U64, binary_parts, bites, checkpointed, mix, runs, table, with_text
 
 MAX_REPEATS = 3
 
@@ -86,7 +86,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -107,13 +107,13 @@ def count_words(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def sized(df: DataFrame, keep: list[str], text: str = "text", name: str = "size") -> DataFrame:
     """Columns `keep` of df and the number of words of its text."""
-    source = df.select(*keep, F.col(text).cast("binary").alias("__text"))
+    source, at = with_text(df, keep, text)
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in bites(batches, len(keep)):
-            size = count_words(*binary_parts(batch.column(len(keep))))
+        for batch in bites(batches, at):
+            size = count_words(*binary_parts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size)], schema=arrow)
 
     return source.mapInArrow(run, schema)
@@ -220,25 +220,27 @@ def mixed_texts(docs: DataFrame, block_words: int = 128, **options) -> DataFrame
     )
     same = Window.partitionBy("doc_id", "__key", "size")
     pieces = pieces.withColumn("__nth", F.dense_rank().over(same.orderBy("uid"))).drop("uid")
-    body = docs.select(F.struct("*").alias("b_row"), F.col("doc_id").alias("b_id"), _source_key(F.col("source")).alias("b_key"), F.col("text").alias("b_text"))
+    # the text travels once, beside the other columns
+    rest = F.struct(*[F.col(c) for c in cols if c != "text"])
+    body = docs.select(rest.alias("b_row"), F.col("doc_id").alias("b_id"), _source_key(F.col("source")).alias("b_key"), F.col("text").alias("b_text"))
     body = sized(body, body.columns, "b_text", "b_size")
     body = body.withColumn("b_nth", F.row_number().over(Window.partitionBy("b_id", "b_key", "b_size").orderBy("b_text")))
     on = [F.col(x).eqNullSafe(F.col(y)) for x, y in (("b_id", "doc_id"), ("b_key", "__key"), ("b_size", "size"), ("b_nth", "__nth"))]
     both = body.join(pieces, on)
     whole = F.col("__got") == F.col("b_size")
     spans = F.when(~whole, F.flatten(F.transform("__spans", lambda s: F.array(s["from_word"], s["to_word"]))))
-    given = both.select(*[F.col("b_row").getField(c).alias(c) for c in cols], F.col("b_text").cast("binary").alias("__text"), spans.alias("__cut"))
-    schema = docs.schema
+    given = both.select(*[(F.col("b_text") if c == "text" else F.col("b_row").getField(c)).alias(c) for c in cols], spans.alias("__cut"))
+    schema, at = docs.schema, cols.index("text")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in bites(batches, len(cols)):
+        for batch in bites(batches, at):
             texts = []
-            for text, cut in zip(batch.column(len(cols)).to_pylist(), batch.column(len(cols) + 1).to_pylist()):
+            for text, cut in zip(batch.column(at).to_pylist(), batch.column(len(cols)).to_pylist()):
                 if cut is not None:
                     words = _WORDS.findall(text)
-                    text = b" ".join(w for a, b in zip(cut[::2], cut[1::2]) for w in words[a:b])
-                texts.append(text.decode("utf-8"))
+                    text = " ".join(w for a, b in zip(cut[::2], cut[1::2]) for w in words[a:b])
+                texts.append(text)
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c].cast(arrow.field(c).type) if c in new else batch.column(k) for k, c in enumerate(cols)], schema=arrow)
 
