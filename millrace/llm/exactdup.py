@@ -30,10 +30,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE2, U64, index_ranges, mix, powers, prefix_sums, slide_min, span_hash, table
+from .common import BASE, BASE2, U64, index_ranges, mix, powers, prefix_sums, runs, slide_min, span_hash, table
 from .suffix import repeated_windows
 
 LENGTH, GRAM = 100, 40
@@ -332,28 +332,79 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 # ------------------------------------------------------------------------------------------------ all shards
 
 
+_PIECE = pa.schema([("first", pa.int64()), ("n", pa.int64()), ("rows", pa.int64())])
+PREFIX = 3
+
+
+def _pieces(limit: int):
+    """From rows in order of doc_id: first id, bytes and rows of pieces of at most `limit` bytes.  A larger id stands alone."""
+
+    def cut(held: np.ndarray):
+        if len(held):
+            off = np.concatenate([[0], np.cumsum(held[:, 1])])
+            starts = [i for i, _ in runs(off, limit)]
+            columns = held[starts, 0], np.add.reduceat(held[:, 1], starts), np.add.reduceat(held[:, 2], starts)
+            yield pa.RecordBatch.from_arrays([_column(c) for c in columns], schema=_PIECE)
+
+    def run(batches):
+        last = np.zeros((0, 3), np.int64)  # this id may go on in the next batch
+        for batch in batches:
+            ids, size = batch.column(0), batch.column(1).to_numpy()
+            nulls = ids.null_count  # they come first
+            if nulls:
+                yield pa.RecordBatch.from_arrays([_column([None]), _column([int(size[:nulls].sum())]), _column([nulls])], schema=_PIECE)
+            ids = ids.slice(nulls).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(ids):
+                continue
+            held = np.concatenate([last, np.stack([ids, size[nulls:], np.ones_like(ids)], 1)])
+            begins = np.flatnonzero(np.append(True, held[1:, 0] != held[:-1, 0]))
+            held = np.stack([held[begins, 0], np.add.reduceat(held[:, 1], begins), np.add.reduceat(held[:, 2], begins)], 1)
+            last = held[-1:]
+            yield from cut(held[:-1])
+        yield from cut(last)
+
+    return run
+
+
 def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """(shard, doc_id, text as bytes; total bytes).  Shards follow doc_id and hold about `shard_bytes`.
+    """(shard, doc_id, text as bytes; total bytes).  Shards follow doc_id, then text, and hold `shard_bytes` or one larger row.
 
-    Ids are cut into ranges of equal width; ranges that turn out too full are cut again, by widths of their own.
+    Shards are cut by the bytes that stand before an id in sorted order, wherever the ids lie.  An id (or the null id) of over
+    2 * shard_bytes in several rows is cut by its bytes in order of the texts: sums by the texts' first PREFIX bytes, then a
+    running sum within each prefix.  The driver sees about 4 pieces of 24 bytes for each shard.
     """
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    got = df.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(size).alias("n")).first()
-    total, lo, hi = got["n"] or 0, got["lo"] or 0, got["hi"] or 0
-    width = max(1, int((hi - lo + 1) * shard_bytes // max(total, 1)))
-    # doubles keep the order of ids, wherever they lie, and equal ids together
-    base = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(width))), F.lit(0)).cast("long")
-    full = df.groupBy(base.alias("b")).agg(F.sum(size).alias("n")).where(F.col("n") > 2 * shard_bytes).orderBy("b").limit(1001).collect()
-    if len(full) > 1000:  # ids are crowded: finer ranges everywhere
-        return sharded(docs, shard_bytes // 4)
-    shard, extra = base, F.lit(0)
-    for r in full:
-        parts = min(width, -(-r["n"] // shard_bytes))
-        place = (F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(float(width)) - F.lit(float(r["b"]))
-        inside = F.least(F.floor(place * F.lit(float(parts))), F.lit(parts - 1)).cast("long")
-        extra = extra + F.when(base > r["b"], parts - 1).when(base == r["b"], F.coalesce(inside, F.lit(0))).otherwise(0)
-    return df.select((shard + extra).cast("long").alias("shard"), "doc_id", "text"), total
+    in_order = df.select("doc_id", size.alias("n")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    got = in_order.mapInArrow(_pieces(max(1, shard_bytes // 4)), "first long, n long, rows long").toArrow().sort_by("first")
+    first, n, rows = (got.column(c).combine_chunks() for c in ("first", "n", "rows"))
+    null = first.is_null().to_numpy(zero_copy_only=False)
+    first, n, rows = first.fill_null(0).to_numpy(), n.to_numpy(), rows.to_numpy()
+    off = np.concatenate([[0], np.cumsum(n[~null])]).astype(np.int64)
+    starts = np.array([i for i, _ in runs(off, shard_bytes)], np.int64)
+    ends = np.append(starts[1:], len(off) - 1)[: len(starts)]
+    # slot 0 is the null id's
+    held = np.concatenate([[n[null].sum()], off[ends] - off[starts]]).astype(np.int64)
+    one = np.concatenate([[True], (ends == starts + 1) & (rows[~null][starts] > 1)])
+    split = one & (held > 2 * shard_bytes)
+    number = np.concatenate([[0], np.cumsum(np.where(split, held // shard_bytes + 1, 1))[:-1]])
+    code, opening = np.where(split, -1 - number, number), first[~null][starts]
+
+    def place(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(opening, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(code[np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at)], pa.int64())
+
+    placed = df.withColumn("shard", F.arrow_udf(place, "long")("doc_id"))
+    if not split.any():
+        return placed.select("shard", "doc_id", "text"), int(n.sum())
+    prefix = F.coalesce(F.substring("text", 1, PREFIX), F.lit(b""))
+    big = placed.where("shard < 0").select((-1 - F.col("shard")).alias("base"), prefix.alias("prefix"), "doc_id", "text", size.alias("n"))
+    sums = big.groupBy("base", "prefix").agg(F.sum("n").alias("own"))
+    before = sums.select("base", "prefix", (F.sum("own").over(Window.partitionBy("base").orderBy("prefix")) - F.col("own")).alias("before"))
+    here = F.sum("n").over(Window.partitionBy("base", "prefix").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    big = big.withColumn("here", here).join(before, ["base", "prefix"])
+    shard = F.col("base") + F.floor((F.col("before") + F.col("here")) / F.lit(shard_bytes)).cast("long")
+    return placed.where("shard >= 0").select("shard", "doc_id", "text").unionByName(big.select(shard.alias("shard"), "doc_id", "text")), int(n.sum())
 
 
 def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, texts: bool = False) -> DataFrame:

@@ -112,6 +112,37 @@ def test_repeated_strings_kept_texts_and_empty(spark, no_docs):
     assert exactdup.remove_repeats(no_docs).count() == 0
 
 
+def skewed_ids():
+    """Ids in two far blocks, near 2**62, null ids of many bytes with repeated rows, one id of many texts and long texts."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, text(200)) for i in [*range(1500), *range(15_000, 16_500)]] + [((1 << 62) + i, text(150)) for i in range(60)]
+    rows += [(None, text(120 + i)) for i in range(60)] + [(None, "same " * 40)] * 30 + [(None, None), (None, "")]
+    rows += [(700, "one head " + text(160)) for _ in range(40)] + [(20_000 + i, text(3_000)) for i in range(20)]
+    return rows
+
+
+def test_shards_follow_bytes(spark):
+    rows = skewed_ids()
+    df, total = exactdup.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 100)
+    got = [(r["shard"], r["doc_id"], bytes(r["text"] or b"")) for r in df.collect()]
+    assert total == sum(len((t or "").encode()) for _, t in rows) and collections.Counter(r[1:] for r in got) == collections.Counter((i, (t or "").encode()) for i, t in rows)
+    order = sorted(got, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))  # equal rows may part
+    assert all(a[0] <= b[0] for a, b in zip(order, order[1:]))
+    df, _ = exactdup.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 2_000)
+    sizes = collections.defaultdict(list)
+    for r in df.collect():
+        sizes[r["shard"]].append(len(r["text"] or b""))
+    assert all(len(s) == 1 or sum(s) <= 2 * 2_000 + 200 for s in sizes.values()) and len(sizes) < 2 * total / 2_000
+
+
+def test_repeated_strings_of_skewed_ids(spark):
+    rows = [r for k, r in enumerate(skewed_ids()) if r[0] is None or r[0] == 700 or k % 40 == 0 or r[0] >= 20_000]
+    rows += [(i, t + rows[0][1]) for i, t in rows if i == 700] + [(None, rows[0][1] + "tail")]
+    got = exactdup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 2_000).drop("kept").collect()
+    assert collections.Counter(tuple(r) for r in got) == repeats(rows)
+
+
 # ------------------------------------------------------------------------------------------------ 2: embeddings
 
 
