@@ -5,12 +5,13 @@ selected as a fingerprint, so that any repeated run of that length shares one.
 or more are joined back to their positions; around each the match is extended both ways to the windows of `run_lines`
 lines that selected it, compared by two 64-bit hashes of their lines.  A window is repeated if the same lines also start
 earlier (smaller doc_id, or earlier in the same document); overlapping windows make up the repeated runs, and their lines
-are deleted.
+are deleted.  With `long_words`, a line of more words than that is a run of its own and is deleted where the same line
+stands earlier, whatever its neighbours; `query` leaves it out, as its SQL knows windows of RUN_LINES lines only.
 
 Common fingerprints and windows are counted with partial sums and joined over salts, so no task holds all their rows.
 
 Defined results: null and empty texts have no lines and stay as they are; blank lines are never deleted; texts of fewer
-lines than a run keep them all; rows equal in doc_id and text are one document and are judged alike; rows with equal doc_id
+lines than a run keep them all but repeated long ones; rows equal in doc_id and text are one document and are judged alike; rows with equal doc_id
 and different texts are ordered by a hash of the text; a null doc_id is the smallest; an empty table gives an empty result.
 """
 
@@ -23,6 +24,7 @@ from .common import checkpointed, table
 
 RUN_LINES = 2
 SALTS = 16
+WORD = r"[^\x20\x09-\x0D]+"
 EXTRA = {"n_lines", "n_removed", "n_runs", "kept_text"}
 
 
@@ -67,27 +69,48 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def repeated(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
-    """__doc and `starts`, the sorted windows whose lines also start earlier."""
-    all_ = checkpointed(windows(docs, run_lines).withColumn("__salt", F.pmod(F.xxhash64("__doc", "at"), F.lit(SALTS)).cast("int")))
-    # rows equal in doc_id and text are one document
-    fps = all_.groupBy("fp").agg(F.sum("own").alias("n")).where("n > 1").select("fp")
-    met = all_.join(_salted(fps), ["fp", "__salt"])
+def long_lines(docs: DataFrame, long_words: int) -> DataFrame:
+    """One row per line of more than `long_words` words: __doc, at, k1, k2."""
+    df = _identified(docs.select("doc_id", "text"))
+    full = F.filter(_split(F.col("text")), lambda x: F.trim(x) != "")
+
+    def line(x: Column, i: Column) -> Column:
+        keys = F.struct(i.alias("at"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit("second"), x).alias("k2"))
+        return F.when(F.regexp_count(x, F.lit(WORD)) > long_words, keys)
+
+    made = F.filter(F.transform(full, line), lambda w: w.isNotNull())
+    return df.select("__doc", F.explode(made).alias("w")).select("__doc", "w.*")
+
+
+def _later(met: DataFrame) -> DataFrame:
+    """__doc and at of the rows whose k1, k2 also stand earlier."""
     firsts = met.groupBy("k1", "k2").agg(F.min(F.struct("__doc", "at")).alias("first"), F.max(F.struct("__doc", "at")).alias("last"))
     firsts = firsts.where("first < last").select("k1", "k2", "first")
-    later = met.join(_salted(firsts), ["k1", "k2", "__salt"]).where(F.struct("__doc", "at") > F.col("first"))
-    return later.groupBy("__doc").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return met.join(_salted(firsts), ["k1", "k2", "__salt"]).where(F.struct("__doc", "at") > F.col("first")).select("__doc", "at")
+
+
+def repeated(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
+    """__doc and `starts`, the sorted (at, n) of the windows and long lines that also start earlier; n counts their lines."""
+    salt = F.pmod(F.xxhash64("__doc", "at"), F.lit(SALTS)).cast("int")
+    all_ = checkpointed(windows(docs, run_lines).withColumn("__salt", salt))
+    # rows equal in doc_id and text are one document
+    fps = all_.groupBy("fp").agg(F.sum("own").alias("n")).where("n > 1").select("fp")
+    later = _later(all_.join(_salted(fps), ["fp", "__salt"])).withColumn("n", F.lit(run_lines))
+    if long_words is not None:
+        single = checkpointed(long_lines(docs, long_words).withColumn("__salt", salt))
+        later = later.unionByName(_later(single).withColumn("n", F.lit(1)))
+    return later.groupBy("__doc").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
     """Columns of `docs` with n_lines, n_removed, n_runs and kept_text."""
-    hits = repeated(docs, run_lines).select(F.col("__doc").alias("__hit"), "starts")
+    hits = repeated(docs, run_lines, long_words).select(F.col("__doc").alias("__hit"), "starts")
     packed = docs.select(F.struct("*").alias("__row"), "doc_id", "text")
     df = _identified(packed).join(hits, F.col("__doc").eqNullSafe(F.col("__hit")), "left")
     # functions that walk two arrays side by side instead of looking positions up keep very long texts linear
     df = df.withColumn("__lines", _split(F.col("text")))
     full = F.filter(F.transform("__lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    dropped = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run_lines - 1)))))
+    dropped = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + (s["n"] - 1)))))
     df = df.withColumn("__full", full).withColumn("__drop", F.coalesce(dropped, F.array().cast("array<int>")))
     df = df.withColumn("__gone_full", _dense(F.col("__drop"), F.size("__full")))
     gone = F.filter(F.zip_with("__full", "__gone_full", lambda i, g: F.when(g, i)), lambda i: i.isNotNull())

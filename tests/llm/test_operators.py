@@ -308,6 +308,19 @@ def test_lines_of_repeated_rows(spark):
     assert got == [(0, 0), (1, 2), (1, 2)]  # the null id comes first; equal rows are one document
 
 
+def test_lines_of_many_words(spark, no_docs):
+    """A repeated line of many words goes wherever it stands; short common lines stay unless they make a run."""
+    long_, edge = " ".join(f"w{i}" for i in range(51)), " \t".join(f"v{i}" for i in range(50))
+    rows = [(1, f"a\n{long_}\n\nb\n{edge}"), (2, f"c\n{long_}\n\nd\n{edge}\ne"), (3, long_), (4, edge), (5, f"{long_}\n{long_}"), (6, "a\nf\nb"), (7, f"x\na\n{long_}\ny"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_runs"], r["kept_text"]) for r in lines.dedup_lines(df, long_words=50).collect()}
+    want = {i: (0, 0, t) for i, t in rows}
+    # in 2 the long line alone goes, as edge has 50 words only; in 7 the run of a and the long line stands in 1 already
+    want.update({2: (1, 1, f"c\n\nd\n{edge}\ne"), 3: (1, 1, ""), 5: (2, 1, ""), 7: (2, 1, "x\ny")})
+    assert got == want
+    assert lines.dedup_lines(no_docs, long_words=50).count() == 0
+
+
 # ------------------------------------------------------------------------------------------------ 6: near copies
 
 
