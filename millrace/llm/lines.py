@@ -1,11 +1,11 @@
 """Operator 5 - line dedup by winnowing over line hashes.  DataFrame functions only.
 
 A document is the sequence of its lines that are not blank.  Of every `run_lines` consecutive line hashes the least is
-selected as a fingerprint, so that any repeated run of that length shares one.  Fingerprints that stand at two positions
-or more are joined back to their positions; around each the match is extended both ways to the windows of `run_lines`
-lines that selected it, compared by two 64-bit hashes of their lines.  A window is repeated if the same lines also start
-earlier (smaller doc_id, or earlier in the same document); overlapping windows make up the repeated runs, and their lines
-are deleted.  With `long_words`, a line of more words than that is a run of its own and is deleted where the same line
+selected as a fingerprint, so that any repeated run of that length shares one.  Fingerprints only prefilter: windows of
+`run_lines` lines whose fingerprint stands at one position are set aside.  The others are compared whole, by two 64-bit
+hashes of their lines; no match is extended from the positions of a fingerprint.  A window is repeated if the same lines
+also start earlier (smaller doc_id, or earlier in the same document); overlapping windows make up the repeated runs, and
+their lines are deleted.  With `long_words`, a line of more words than that is a run of its own and is deleted where the same line
 stands earlier, whatever its neighbours; `query` leaves it out, as its SQL knows windows of RUN_LINES lines only.
 
 Common fingerprints and windows are counted with partial sums and joined over salts, so no task holds all their rows.
