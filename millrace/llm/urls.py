@@ -9,7 +9,8 @@ models have not seen, weighted by their spreads.
 
 The model is broadcast while it has at most `BROADCAST_GRAMS` grams; larger ones are joined by gram and salt.
 
-Defined results: a null url or one without `://` has empty host and path, no rule, and the method's verdict for an empty
+Defined results: the models learn and score a shortened url, the host and path with every run of digits replaced by one 0;
+the scheme, what follows ? or # and the numbers themselves never count; a null url or one without `://` has empty host and path, no rule, and the method's verdict for an empty
 text (score 0); without accepted or without rejected urls to learn from every score and the threshold are 0, which allows;
 repeated rows are judged alike; an empty table gives an empty result.
 """
