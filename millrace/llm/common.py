@@ -27,20 +27,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """A temporary folder, for sessions that name no shared one; refused where executors run on other machines."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return _CACHE.setdefault("folder", tempfile.mkdtemp(prefix="millrace-"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the folder that `spark.checkpoint.dir` names.
 
-    Only where the session names none (local tests) is a temporary folder set up.
+    Only where the session names none and runs in one process (tests) is a temporary folder set up.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(_local_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _CACHE.setdefault("folder", tempfile.mkdtemp(prefix="millrace-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
+
+
+#: Rows of one key are dealt to this many salts before they meet what is known of the key.
+SALTS = 16
+
+
+def salted(df: DataFrame, *by: str) -> DataFrame:
+    """Adds __salt, a hash of the columns that tell the rows of a key apart."""
+    return df.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+
+
+def salt_mask() -> Column:
+    """Aggregate: the salts that a group's rows have, as bits."""
+    return F.bit_or(F.expr("shiftleft(1, __salt)")).alias("__mask")
+
+
+def by_salt(groups: DataFrame) -> DataFrame:
+    """A row for each salt that a group has, never more than the group has rows, to be joined by key and salt."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("__mask"), i) == 1)
+    return groups.withColumn("__salt", F.explode(held)).drop("__mask")
 
 
 def n_bytes(text: Column) -> Column:

@@ -1,18 +1,22 @@
 """Operator 5 - line dedup by winnowing over line hashes.  DataFrame functions only.
 
 A document is the sequence of its lines that are not blank.  Of every `run_lines` consecutive line hashes the least is
-selected as a fingerprint, so that any repeated run of that length shares one.  Fingerprints only prefilter: windows of
-`run_lines` lines whose fingerprint stands at one position are set aside.  The others are compared whole, by two 64-bit
-hashes of their lines; no match is extended from the positions of a fingerprint.  A window is repeated if the same lines
-also start earlier (smaller doc_id, or earlier in the same document); overlapping windows make up the repeated runs, and
-their lines are deleted.  With `long_words`, a line of more words than that is a run of its own and is deleted where the same line
-stands earlier, whatever its neighbours; `query` leaves it out, as its SQL knows windows of RUN_LINES lines only.
+selected as a fingerprint, so that any repeated run of that length shares one at the same place.  Only the selected positions
+are shipped, each with its extensions: the hashes of the runs of `run_lines` lines that reach from it to the left and to the
+right and have it as their least.  Positions are joined on their fingerprint; where it stands at several, each extension is
+joined to the first place of the same run, and one that stands later (greater doc_id, or later in the same document) is a
+match.  Matches that overlap in a document continue each other to maximal runs, and the lines of these are deleted.  With
+`long_words`, a line of more words than that is a run of its own, whatever its neighbours, so that a long passage is caught
+between lines that differ while a short common line stays.
 
-Common fingerprints and windows are counted with partial sums and joined over salts, so no task holds all their rows.
+Common fingerprints and runs are counted with partial sums and joined over the salts that they have, so no task holds all
+their rows.  Lines are compared by two 64-bit hashes.
 
 Defined results: null and empty texts have no lines and stay as they are; blank lines are never deleted; texts of fewer
-lines than a run keep them all but repeated long ones; rows equal in doc_id and text are one document and are judged alike; rows with equal doc_id
-and different texts are ordered by a hash of the text; a null doc_id is the smallest; an empty table gives an empty result.
+lines than a run keep them all but repeated long ones; very long texts are one row of arrays that are walked in time linear
+in their lines; rows equal in doc_id and text are one document and are judged alike; rows with equal doc_id and different
+texts are ordered by a hash of the text; a null doc_id is the smallest; an empty table gives an empty result; columns of
+`docs` named n_lines, n_removed, n_runs or kept_text are replaced by the operator's own, all other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import by_salt, checkpointed, salt_mask, salted, table
 
-RUN_LINES = 2
-SALTS = 16
+#: Runs of RUN_LINES lines, and single lines of more than LONG_WORDS words, go where they stand again.
+RUN_LINES, LONG_WORDS = 2, 50
 WORD = r"[^\x20\x09-\x0D]+"
 EXTRA = {"n_lines", "n_removed", "n_runs", "kept_text"}
 
@@ -44,60 +48,66 @@ def _dense(spots: Column, n: Column) -> Column:
     return F.when(F.size(spots) == 0, F.array_repeat(F.lit(False), n)).otherwise(F.concat(F.flatten(gaps), F.array_repeat(F.lit(False), tail)))
 
 
-def windows(docs: DataFrame, run_lines: int) -> DataFrame:
-    """One row per window of lines: __doc, at, spot and fp (the selected line and its hash), own, k1, k2."""
+def _made(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and new columns, each evaluated once for a row: what follows cannot be merged into a generator's input."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def fingerprints(docs: DataFrame, run_lines: int) -> DataFrame:
+    """One row per selected position: __doc, fp (its line's hash) and `runs`, the (at, k1, k2) of its extensions."""
     df = _identified(docs.select("doc_id", "text"))
-    full = F.filter(_split(F.col("text")), lambda x: F.trim(x) != "")
-    first, second = F.transform(full, lambda x: F.xxhash64(x)), F.transform(full, lambda x: F.xxhash64(F.lit("second"), x))
-    df = df.select("__doc", first.alias("h1"), second.alias("h2")).where(F.size("h1") >= run_lines)
+    df = _made(df, ["__doc"], full=F.filter(_split(F.col("text")), lambda x: F.trim(x) != ""))
+    df = _made(df, ["__doc"], h1=F.transform("full", lambda x: F.xxhash64(x)), h2=F.transform("full", lambda x: F.xxhash64(F.lit("second"), x)))
 
-    def window(i: Column) -> Column:  # i counts from 1
-        here, before = F.slice("h1", i, run_lines), F.slice("h1", F.greatest(i - 1, F.lit(1)), run_lines)
-        spot = i + F.array_position(here, F.array_min(here))
-        earlier = i - 1 + F.array_position(before, F.array_min(before))
-        own = F.when((i > 1) & (earlier == spot), 0).otherwise(1)  # each selected position counts once
-        return F.struct(
-            (i - 1).alias("at"), F.array_min(here).alias("fp"), own.alias("own"), F.xxhash64(here).alias("k1"), F.xxhash64(F.slice("h2", i, run_lines)).alias("k2")
-        )
+    def run(i: Column) -> Column:  # i counts from 1
+        here = F.slice("h1", i, run_lines)
+        spot = i + F.array_position(here, F.array_min(here)) - 2
+        return F.struct((i - 1).alias("at"), spot.alias("spot"), F.xxhash64(here).alias("k1"), F.xxhash64(F.slice("h2", i, run_lines)).alias("k2"))
 
-    # the windows are made inside the row, so that no row but theirs carries a whole document's hashes
-    made = F.transform(F.sequence(F.lit(1), F.size("h1") - (run_lines - 1)), window)
-    return df.select("__doc", F.explode(made).alias("w")).select("__doc", "w.*")
+    df = df.where(F.size("h1") >= run_lines)
+    df = _made(df, ["__doc", "h1"], runs=F.transform(F.sequence(F.lit(1), F.size("h1") - (run_lines - 1)), run))
+    # runs of one selected position stand together, as positions never decrease
+    opens = F.transform("runs", lambda x, i: F.when((i == 0) | (F.get("runs", i - 1)["spot"] < x["spot"]), i))
+    df = _made(df, ["__doc", "h1", "runs"], opens=F.filter(opens, lambda i: i.isNotNull()))
 
+    def position(i: Column, j: Column) -> Column:
+        until = F.coalesce(F.get("opens", j + 1), F.size("runs"))
+        own = F.transform(F.slice("runs", i + 1, until - i), lambda x: F.struct(x["at"].alias("at"), x["k1"].alias("k1"), x["k2"].alias("k2")))
+        return F.struct(F.get("h1", F.get("runs", i)["spot"].cast("int")).alias("fp"), own.alias("runs"))
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.select("__doc", F.inline(F.transform("opens", position)))
 
 
 def long_lines(docs: DataFrame, long_words: int) -> DataFrame:
     """One row per line of more than `long_words` words: __doc, at, k1, k2."""
     df = _identified(docs.select("doc_id", "text"))
-    full = F.filter(_split(F.col("text")), lambda x: F.trim(x) != "")
+    df = _made(df, ["__doc"], full=F.filter(_split(F.col("text")), lambda x: F.trim(x) != ""))
 
     def line(x: Column, i: Column) -> Column:
         keys = F.struct(i.alias("at"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit("second"), x).alias("k2"))
-        return F.when(F.regexp_count(x, F.lit(WORD)) > long_words, keys)
+        # n words and the spaces between them are 2 n - 1 characters at least
+        return F.when((F.char_length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words), keys)
 
-    made = F.filter(F.transform(full, line), lambda w: w.isNotNull())
-    return df.select("__doc", F.explode(made).alias("w")).select("__doc", "w.*")
+    return df.select("__doc", F.inline(F.filter(F.transform("full", line), lambda w: w.isNotNull())))
 
 
 def _later(met: DataFrame) -> DataFrame:
-    """__doc and at of the rows whose k1, k2 also stand earlier."""
-    firsts = met.groupBy("k1", "k2").agg(F.min(F.struct("__doc", "at")).alias("first"), F.max(F.struct("__doc", "at")).alias("last"))
-    firsts = firsts.where("first < last").select("k1", "k2", "first")
-    return met.join(_salted(firsts), ["k1", "k2", "__salt"]).where(F.struct("__doc", "at") > F.col("first")).select("__doc", "at")
+    """__doc and at of the rows whose k1, k2 also stand earlier.  `met` has __salt."""
+    place = F.struct("__doc", "at")
+    firsts = met.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), salt_mask()).where("first < last")
+    firsts = by_salt(firsts.select("k1", "k2", "first", "__mask"))
+    return met.join(firsts, ["k1", "k2", "__salt"]).where(place > F.col("first")).select("__doc", "at")
 
 
 def repeated(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
-    """__doc and `starts`, the sorted (at, n) of the windows and long lines that also start earlier; n counts their lines."""
-    salt = F.pmod(F.xxhash64("__doc", "at"), F.lit(SALTS)).cast("int")
-    all_ = checkpointed(windows(docs, run_lines).withColumn("__salt", salt))
-    # rows equal in doc_id and text are one document
-    fps = all_.groupBy("fp").agg(F.sum("own").alias("n")).where("n > 1").select("fp")
-    later = _later(all_.join(_salted(fps), ["fp", "__salt"])).withColumn("n", F.lit(run_lines))
+    """__doc and `starts`, the sorted (at, n) of the runs and long lines that also start earlier; n counts their lines."""
+    # rows equal in doc_id and text are one document: their places are equal
+    spots = checkpointed(salted(fingerprints(docs, run_lines), "__doc"))
+    shared = by_salt(spots.groupBy("fp").agg(F.count("*").alias("n"), salt_mask()).where("n > 1").select("fp", "__mask"))
+    met = spots.join(shared, ["fp", "__salt"]).select("__doc", "__salt", F.inline("runs"))
+    later = _later(met).withColumn("n", F.lit(run_lines))
     if long_words is not None:
-        single = checkpointed(long_lines(docs, long_words).withColumn("__salt", salt))
+        single = checkpointed(salted(long_lines(docs, long_words), "__doc"))
         later = later.unionByName(_later(single).withColumn("n", F.lit(1)))
     return later.groupBy("__doc").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("starts"))
 
@@ -123,6 +133,6 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | N
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), RUN_LINES, LONG_WORDS)
     sha = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", sha.alias("kept_sha256"))

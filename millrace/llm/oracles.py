@@ -32,16 +32,15 @@ LEFT JOIN ids i USING (doc_id)
 """,
     "op9_url_filter": r"""
 WITH parts AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+  SELECT page_id, coalesce(url, '') AS key, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), base AS (
-  SELECT page_id, coalesce(translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT page_id, key, coalesce(translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1), '') AS path FROM parts
 ), ruled AS (
   SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
                  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
                  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-         regexp_replace(host || path, '[0-9]+', '0', 'g') AS key FROM base
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM base
 ), keys AS (
   SELECT DISTINCT key, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 WHEN rule IS NULL THEN NULL ELSE 0.0 END AS acc FROM ruled
 ), known AS (SELECT key, acc, substr(md5(key), 1, 1) IN ('0', '1', '2', '3') AS aside FROM keys WHERE acc IS NOT NULL
@@ -71,7 +70,8 @@ WITH l AS (
 ), f AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM l WHERE trim(line, ' ') <> ''
 ), w AS (SELECT a.doc_id, a.p, a.line AS l1, b.line AS l2 FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.p = a.p + 1
 ), r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, p) AS n FROM w
-), d AS (SELECT DISTINCT doc_id, q AS p FROM (SELECT doc_id, unnest([p, p + 1]) AS q FROM r WHERE n > 1)
+), s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS n FROM f WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50
+), d AS (SELECT DISTINCT doc_id, q AS p FROM (SELECT doc_id, unnest([p, p + 1]) AS q FROM r WHERE n > 1 UNION ALL SELECT doc_id, p FROM s WHERE n > 1)
 ), runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE prev IS NULL OR prev <> p - 1) AS n_runs
             FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM d) GROUP BY doc_id
 ), gone AS (SELECT f.doc_id, f.i FROM f JOIN d USING (doc_id, p)
@@ -92,17 +92,24 @@ WITH RECURSIVE tab AS (
          xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)),
                          lambda a, b: xor(a // 256, l[(xor(a, b) % 256 + 1)::INT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
   FROM documents, lut
-), rows_ AS (SELECT *, row_number() OVER () AS rid FROM base
+), rows_ AS (SELECT *, row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, 'null') AS k FROM base
 ), leaves AS (SELECT i AS shard, i // 12 AS region, i // 4 AS rack FROM range(25) r(i)
-), draws AS (
-  SELECT rid, shard, region, rack,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/' || region || '/' || rack || '/' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) * pow(2.0::DOUBLE, -52)) AS t
-  FROM rows_, leaves
-), placed AS (SELECT rid, shard, t FROM draws WHERE shard < 24 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY t, region, rack, shard) = 1
+), trees AS (SELECT n, shard, region, rack FROM leaves, (VALUES (24), (25)) t(n) WHERE shard < n
+), drawn AS (  -- every node's draw divided by the weight below it; the hash does not depend on the tree
+  SELECT rid, n, node, path, -ln((('0x' || substr(md5(k || '/' || path), 1, 13))::BIGINT::DOUBLE + 0.5) * pow(2.0::DOUBLE, -52)) / weight AS t, parent
+  FROM rows_, (
+    SELECT n, region AS node, '' AS parent, region::VARCHAR AS path, count(*)::DOUBLE AS weight FROM trees GROUP BY n, region
+    UNION ALL SELECT n, rack, region::VARCHAR, region || '/' || rack, count(*)::DOUBLE FROM trees GROUP BY n, region, rack
+    UNION ALL SELECT n, shard, region || '/' || rack, region || '/' || rack || '/' || shard, 1.0 FROM trees
+  ) nodes
+), won AS (SELECT rid, n, parent, node, path FROM drawn QUALIFY row_number() OVER (PARTITION BY rid, n, parent ORDER BY t, node) = 1
+), places AS (
+  SELECT a.rid, a.n, c.node AS shard FROM won a JOIN won b ON b.rid = a.rid AND b.n = a.n AND b.parent = a.path JOIN won c ON c.rid = b.rid AND c.n = b.n AND c.parent = b.path
+  WHERE a.parent = ''
 ), spots AS (
-  SELECT r.*, p.shard::INTEGER AS shard, CASE WHEN d.t < p.t THEN 24 ELSE p.shard END::INTEGER AS grown_shard,
-         ('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, 'null') || '/' || text_crc32 || '/' || size), 1, 13))::BIGINT AS bits
-  FROM rows_ r JOIN placed p USING (rid) JOIN draws d ON d.rid = r.rid AND d.shard = 24
+  SELECT r.*, p.shard::INTEGER AS shard, g.shard::INTEGER AS grown_shard,
+         ('0x' || substr(md5(k || '/' || text_crc32 || '/' || size), 1, 13))::BIGINT AS bits
+  FROM rows_ r JOIN places p ON p.rid = r.rid AND p.n = 24 JOIN places g ON g.rid = r.rid AND g.n = 25
 ), n AS (SELECT greatest(16, ceil(max(c) / 50000.0)::BIGINT) AS chunks FROM (SELECT count(*) AS c FROM spots GROUP BY shard)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,

@@ -7,12 +7,14 @@ of a seen gram was seen, that longest match is the sum of one difference per gra
 join of a url's grams with the model and a sum.  The threshold lies between the two classes' mean scores on urls that the
 models have not seen, weighted by their spreads.
 
-The model is broadcast while it has at most `BROADCAST_GRAMS` grams; larger ones are joined by gram and salt.
-
-Defined results: the models learn and score a shortened url, the host and path with every run of digits replaced by one 0;
-the scheme, what follows ? or # and the numbers themselves never count; a null url or one without `://` has empty host and path, no rule, and the method's verdict for an empty
-text (score 0); without accepted or without rejected urls to learn from every score and the threshold are 0, which allows;
-repeated rows are judged alike; an empty table gives an empty result.
+Models learn from and score every character of the whole url as it stands, scheme, query and fragment included; equal urls
+are one.  The model is broadcast while it has at most `BROADCAST_GRAMS` grams; larger ones are joined by gram and salt.
+
+Defined results: a null url and an empty one are the empty text (score 0, no rule, empty host and path); a url without `://`
+has empty host and path and no rule, and its characters are scored as any; very long urls are cut into grams by the engine,
+a row at a time; without accepted or without rejected urls to learn from every score is 0, and where the urls set aside lack
+one of the two the threshold is 0; a score at the threshold allows; repeated rows are judged alike; an empty table gives an
+empty result; `judge` reads page_id and url alone and returns its five columns, so columns of clashing names play no part.
 """
 
 from __future__ import annotations
@@ -101,14 +103,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, bro
     base = pages.select("page_id", F.col("url").alias("__url"))
     host, path = host_path(F.col("__url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules or RULES)
-    base = base.withColumn("host", host).withColumn("path", path).drop("__url")
-    # numbers are not told apart by the models
-    base = base.withColumn("rule", rule).withColumn("__ruled", verdict).withColumn("key", F.regexp_replace(F.concat("host", "path"), "[0-9]+", "0"))
-    keys = checkpointed(base.groupBy("key", "__ruled").agg(F.count("*").alias("n")))
+    base = base.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("__ruled", verdict)
+    base = base.withColumn("key", F.coalesce("__url", F.lit(""))).drop("__url")
+    keys = checkpointed(base.select("key", "__ruled").distinct())
     known = keys.where(F.col("__ruled").isNotNull()).select("key", (F.col("__ruled") == "allow").alias("accepted"))
     aside = F.substr(F.md5(F.col("key").cast("binary")), F.lit(1), F.lit(1)).isin("0", "1", "2", "3")
     model = fit(known.where(~aside))
-    scores = checkpointed(score(keys.select("key").distinct(), model, broadcast_grams))
+    scores = checkpointed(score(keys.select("key"), model, broadcast_grams))
     spread = known.where(aside).join(scores, "key").groupBy("accepted").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
     got = {r["accepted"]: r for r in spread.collect()}
     bound = 0.0
