@@ -109,9 +109,19 @@ def runs(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def with_text(df: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
     """Columns `keep` of df and where the text stands among them; it is added as bytes only where it is not kept."""
+    columns = [F.col(f"`{c}`") for c in keep]
     if text in keep:
-        return df.select(*keep), keep.index(text)
-    return df.select(*keep, F.col(text).cast("binary").alias("__text")), len(keep)
+        return df.select(*columns), keep.index(text)
+    name = "__text"
+    while name in keep:
+        name += "_"
+    return df.select(*columns, F.col(f"`{text}`").cast("binary").alias(name)), len(keep)
+
+
+def unless(keep: list[str], added: list[str]) -> list[str]:
+    """Kept columns, less those that bear the name of a result, whatever its case: the result takes their place."""
+    names = {c.lower() for c in added}
+    return [c for c in keep if c.lower() not in names]
 
 
 def bites(batches, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -2,14 +2,16 @@
 
 A text is the average of hashed subword embeddings (byte 2-, 3- and 4-grams of its lower-cased words, with word
 boundaries), followed by a linear softmax.  Embeddings and weights are trained together by stochastic gradient descent
-in numpy, on whole texts and on short windows of them.  A tenth of the sample is set aside to fit a temperature and the
-probability under which a prediction is rejected.
+in numpy, on whole texts and on short windows of them, until a tenth of the sample that is set aside is predicted no better.
+That tenth also fits a temperature and the probability under which a prediction is rejected.
 
-Sample bound: `sample_bytes` of labelled text, drawn by a hash of doc_id over the whole table; scoring covers every
-whole text.
+Sample bound: labelled rows of at most `sample_bytes` in total (see `sampled`), drawn by a hash over the whole table; scoring
+covers every whole text.
 
 Defined results: null, empty and letterless texts are `und` with score 0 and rejected; without any labelled row all are;
-null langs are not learned from; repeated rows are scored alike; texts of any length are read in bounded slices.
+null langs are not learned from; classes that tie go to the language that sorts first; repeated rows are scored alike; very
+long texts are read whole in bounded slices; an empty table gives an empty result.  Kept columns named lang_pred, score or
+rejected are left out where these are added; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import binary_parts, bites, held_out, index_ranges, runs, table, with_text
+from .common import binary_parts, bites, held_out, index_ranges, runs, table, unless, with_text
 
 BUCKETS, DIMS, ORDERS = 1 << 13, 16, (2, 3, 4)
 SAMPLE_BYTES = 12_000_000
@@ -36,13 +38,22 @@ _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
-def sampled(df: DataFrame, n_bytes: Column, key: str, limit: int) -> DataFrame:
-    """A hash sample of whole rows of about `limit` bytes in total (all rows where there are fewer)."""
-    total = df.agg(F.sum(n_bytes).alias("n")).first()["n"] or 0
-    if total <= limit:
-        return df
-    share = int(limit / total * (1 << 40))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 40)) < share)
+def sampled(df: DataFrame, n_bytes: Column, key: list[str], limit: int) -> DataFrame:
+    """A hash sample of whole rows of at most `limit` bytes in total; a row counts 64 bytes at least.
+
+    Rows lie in bins by the logarithm of a hash of their key, so that the bins from any one on are a sample a tenth larger
+    than from the next.  One pass sums them; the sample is what follows the first bin from which all fit.  Rows of over an
+    eighth of `limit` are not drawn.
+    """
+    u = (F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    size, bin_ = F.greatest(n_bytes.cast("long"), F.lit(64)), F.floor(-10 * F.log(u)).cast("int")
+    rows = df.withColumn("__bin", bin_).withColumn("__size", size).where(F.col("__size") <= limit // 8)
+    sums = {r["__bin"]: r["n"] for r in rows.groupBy("__bin").agg(F.sum("__size").alias("n")).collect()}  # some 280 rows at most
+    first, total = max(sums, default=0) + 1, 0
+    while first > 0 and total + sums.get(first - 1, 0) <= limit:
+        first -= 1
+        total += sums.get(first, 0)
+    return rows.where(F.col("__bin") >= first).drop("__bin", "__size")
 
 
 def pieces(off: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +126,30 @@ class Model:
 
 
 def _bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for t in texts:
-        ids = features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].ravel()
-        ids, n = np.unique(ids[ids > 0], return_counts=True)
-        out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    """Subwords of each text with their shares, many texts at a time."""
+    out, space = [], 1 + BUCKETS * len(ORDERS)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for i, j in runs(off, SLICE_BYTES):
+        ids, at = features(np.frombuffer(b"".join(texts[i:j]), np.uint8), off[i : j + 1] - off[i])
+        owner = np.repeat(np.arange(j - i), np.diff(at))
+        both = (owner[:, None] * space + ids)[ids > 0]
+        both, n = np.unique(both, return_counts=True)
+        cuts = np.searchsorted(both, np.arange(j - i + 1) * space)
+        ids, n = both % space, n.astype(np.float32)
+        out += [(ids[a:b], n[a:b] / max(1.0, n[a:b].sum())) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     return out
 
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 11) -> Model | None:
+def _loss(bags, truth: np.ndarray, emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> float:
+    """Mean log loss; 0 where there is nothing to measure by."""
+    if not len(truth):
+        return 0.0
+    z = np.stack([(emb[ids] * w[:, None]).sum(0) for ids, w in bags]) @ out + bias
+    z = z - z.max(1, keepdims=True)
+    return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
+
+
+def train(texts: list[bytes], langs: list[str], epochs: int = 8, rate: float = 0.5, batch: int = 32, seed: int = 11) -> Model | None:
     """Fits the model; None where there is nothing to learn from."""
     names = sorted(set(langs))
     if not names:
@@ -147,7 +173,9 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
     emb[0] = 0
     out, bias = np.zeros((DIMS, len(names)), np.float32), np.zeros(len(names), np.float32)
     out += rng.randn(*out.shape).astype(np.float32) * 0.1
-    steps, step = max(1, epochs * len(fit) // batch), 0
+    aside = _bags([t for t, x in zip(texts, set_aside) if x and has_letter(t)])
+    aside_y = np.array([y[i] for i in range(len(texts)) if set_aside[i] and has_letter(texts[i])], np.int64)
+    steps, step, best = max(1, epochs * len(fit) // batch), 0, np.inf
     for _ in range(epochs):
         order = rng.permutation(len(fit))
         for a in range(0, len(order), batch):
@@ -167,8 +195,16 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
             spread = np.repeat(back, [len(bags[i][0]) for i in take], axis=0) * w
             out -= lr * (avg.T @ p) / 4
             bias -= lr * p.sum(0) / 4
-            np.subtract.at(emb, ids, lr * spread * 4)
+            # the rows of one subword are summed first
+            order_, spread = np.argsort(ids, kind="stable"), lr * spread * 4
+            ids, spread = ids[order_], spread[order_]
+            heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            emb[ids[heads]] -= np.add.reduceat(spread, heads, axis=0)
             step += 1
+        now = _loss(aside, aside_y, emb, out, bias)
+        if now > 0.98 * best:
+            break
+        best = min(best, now)
     emb[0] = 0
     model = Model(names, (emb @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     check = [i for i in range(len(texts)) if set_aside[i] and has_letter(texts[i])] or list(range(min(len(texts), 50)))
@@ -193,13 +229,14 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
 
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sampled(rows, F.octet_length("text"), "doc_id", sample_bytes)
+    rows = sampled(rows.select("doc_id", "text", "lang"), F.octet_length("text"), ["doc_id", "text"], sample_bytes)
     got = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     return train([bytes(x) for x in got["text"]], got["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], only_accepted: bool = False) -> DataFrame:
     """Columns `keep` with lang_pred, score and rejected; or just the rows that are not rejected, without these."""
+    keep = keep if only_accepted else unless(keep, ["lang_pred", "score", "rejected"])
     added = [] if only_accepted else [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     source, at = with_text(docs, keep)
     schema = T.StructType([*(source.schema[c] for c in keep), *added])

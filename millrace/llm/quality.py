@@ -2,13 +2,16 @@
 
 Filters of five bytes over one-hot bytes are learned as per-byte tables.  A text is cut into overlapping chunks that cover
 all of it; in each chunk every filter keeps its largest response, and the chunks' responses, averaged and maximised over
-the text, are combined by a logistic unit into one probability.
+the text, are combined by a logistic unit into one probability.  Training, like scoring, reads every chunk of a text; it ends
+when a tenth of the sample that is set aside is predicted no better.
 
-Sample bound: `sample_bytes` of labelled text, drawn by a hash of doc_id over the whole table; of a sampled text training
-reads at most `TRAIN_CHUNKS` chunks spread over all of it in each epoch.  Scoring covers every whole text.
+Sample bound: labelled rows of at most `sample_bytes` in total, drawn by a hash over the whole table; scoring covers every
+whole text.
 
-Defined results: null and empty texts are scored as one chunk of padding; without labelled rows every score is 0.5; a
-document labelled more than once is learned once per label; null labels are not learned from; repeated rows score alike.
+Defined results: null and empty texts are scored as one chunk of padding; very long texts are scored whole, slice by slice;
+without labelled rows every score is 0.5; a score of exactly 0.3 predicts 1; a document labelled more than once is learned
+once per label; null labels are not learned from; repeated rows score alike; an empty table gives an empty result.  Kept
+columns named score or predicted are left out; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import binary_parts, bites, held_out, runs, table
+from .common import binary_parts, bites, checkpointed, held_out, runs, table, unless, with_text
 from .langid import sampled
 
 WIDTH, FILTERS, CHUNK, STRIDE = 5, 12, 256, 192
 BLOCK = 64  # chunk and stride are multiples of it
-TRAIN_CHUNKS = 8
-SAMPLE_BYTES = 12_000_000
+#: Chunks whose responses are held at a time.
+HELD_CHUNKS = 512
+SAMPLE_BYTES = 8_000_000
 SLICE_BYTES = 1 << 19
 THRESHOLD = 0.3
 
@@ -93,18 +97,32 @@ class Model:
         return np.concatenate([mean / n, top])[None]
 
 
-def _chunks(text: bytes, rng: np.random.RandomState) -> tuple[np.ndarray, np.ndarray]:
-    """Up to TRAIN_CHUNKS chunks spread over the whole text, and which of them exist."""
-    starts = np.arange(0, max(1, len(text) - (CHUNK - STRIDE)), STRIDE)
-    if len(starts) > TRAIN_CHUNKS:
-        edges = np.linspace(0, len(starts), TRAIN_CHUNKS + 1).astype(int)
-        starts = starts[[rng.randint(a, b) for a, b in zip(edges[:-1], edges[1:])]]
-    out, there = np.zeros((TRAIN_CHUNKS, CHUNK + WIDTH - 1), np.uint8), np.zeros(TRAIN_CHUNKS, bool)
-    for k, a in enumerate(starts.tolist()):
-        part = np.frombuffer(text[a : a + CHUNK + WIDTH - 1], np.uint8)
-        out[k, : len(part)] = part
-        there[k] = True
-    return out, there
+def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of the texts, (chunks, CHUNK + WIDTH - 1) bytes with padding behind each text; first chunk of each text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    blocks = np.maximum(1, -(-size // BLOCK))
+    n = np.maximum(1, -(-(blocks * BLOCK - (CHUNK - STRIDE)) // STRIDE))
+    room = (n - 1) * STRIDE + CHUNK + WIDTH - 1
+    at = np.concatenate([[0], np.cumsum(room)])
+    b = np.zeros(int(at[-1]), np.uint8)
+    for t, a in zip(texts, at.tolist()):
+        b[a : a + len(t)] = np.frombuffer(t, np.uint8)
+    first = np.concatenate([[0], np.cumsum(n)])
+    begin = np.repeat(at[:-1], n) + (np.arange(first[-1]) - np.repeat(first[:-1], n)) * STRIDE
+    return b[begin[:, None] + np.arange(CHUNK + WIDTH - 1)[None, :]], first[:-1]
+
+
+def _peaks(x: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of every filter in every chunk and where it stands; a slice of chunks at a time."""
+    top, where = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for a in range(0, len(x), HELD_CHUNKS):
+        part = x[a : a + HELD_CHUNKS]
+        r = tables[0][part[:, :CHUNK]]
+        for j in range(1, WIDTH):
+            r += tables[j][part[:, j : j + CHUNK]]
+        at = r.argmax(1)
+        where[a : a + len(part)], top[a : a + len(part)] = at, np.take_along_axis(r, at[:, None], 1)[:, 0]
+    return top, where
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 0.02, seed: int = 5) -> Model | None:
@@ -117,63 +135,80 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 10, batch: int =
         "t": (rng.randn(WIDTH, 256, FILTERS) * 0.1).astype(np.float32), "b": np.full(FILTERS, 0.1, np.float32),
         "w": (rng.randn(2 * FILTERS) * 0.1).astype(np.float32), "c": np.array(np.log(prior / (1 - prior)), np.float32),
     }
+    set_aside = rng.rand(len(texts)) < (0.1 if len(texts) >= 200 else 0)
+    ours, aside = np.flatnonzero(~set_aside), np.flatnonzero(set_aside)
+    raw = np.frombuffer(b"".join(texts[i] for i in aside), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in aside])]).astype(np.int64)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    best, kept, worse = np.inf, None, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(ours)
         lr = rate * (1 - epoch / epochs) + 0.001
         for a in range(0, len(order), batch):
             take = order[a : a + batch]
-            got = [_chunks(texts[i], rng) for i in take]
-            x, there = np.stack([g[0] for g in got]), np.stack([g[1] for g in got])
-            r = p["t"][0][x[..., :CHUNK]]
-            for j in range(1, WIDTH):
-                r = r + p["t"][j][x[..., j : j + CHUNK]]
-            where = r.argmax(2)
-            h = np.take_along_axis(r, where[:, :, None], 2)[:, :, 0] + p["b"]
-            act = np.maximum(h, 0) * there[..., None]
-            n = there.sum(1)[:, None]
-            which = act.argmax(1)
-            feat = np.concatenate([act.sum(1) / n, act.max(1)], 1)
+            x, first = _chunks([texts[i] for i in take])
+            top, where = _peaks(x, p["t"])
+            n = np.diff(np.append(first, len(x)))
+            owner = np.repeat(np.arange(len(take)), n)
+            h = top + p["b"]
+            act = np.maximum(h, 0)
+            high = np.maximum.reduceat(act, first)
+            feat = np.concatenate([np.add.reduceat(act, first) / n[:, None], high], 1)
             z = feat @ p["w"] + p["c"]
             dz = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[take]) / len(take)).astype(np.float32)
             g = {"w": feat.T @ dz + 1e-4 * p["w"], "c": dz.sum()}
-            d = np.repeat((dz[:, None] * p["w"][:FILTERS] / n)[:, None], TRAIN_CHUNKS, 1)
-            np.put_along_axis(d, which[:, None], np.take_along_axis(d, which[:, None], 1) + (dz[:, None] * p["w"][FILTERS:])[:, None], 1)
-            d = d * (h > 0) * there[..., None]
-            g["b"] = d.sum((0, 1))
+            # the maximum's gradient goes to the first chunk that reaches it
+            is_top = act == high[owner]
+            seen = np.cumsum(is_top, axis=0)
+            is_first = is_top & (seen - (seen[first] - is_top[first])[owner] == 1)
+            d = (dz / n)[owner][:, None] * p["w"][:FILTERS] + is_first * (dz[owner][:, None] * p["w"][FILTERS:])
+            d = np.where(h > 0, d, 0).astype(np.float32)
+            g["b"] = d.sum(0)
             g["t"] = np.zeros_like(p["t"])
-            i, k, f = np.nonzero(d)
+            i, f = np.nonzero(d)
             for j in range(WIDTH):
-                np.add.at(g["t"][j], (x[i, k, where[i, k, f] + j], f), d[i, k, f])
+                np.add.at(g["t"][j], (x[i, where[i, f] + j], f), d[i, f])
             step += 1
             for k in p:  # Adam
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 p[k] = p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return Model(p["t"].astype(np.float32), p["b"].astype(np.float32), p["w"].astype(np.float64), float(p["c"]))
+        now = Model(p["t"].astype(np.float32), p["b"].astype(np.float32), p["w"].astype(np.float64), float(p["c"]))
+        if not len(aside):
+            kept = now
+            continue
+        q = np.clip(now.score(raw, off), 1e-6, 1 - 1e-6)
+        loss = float(-np.mean(np.where(y[aside] == 1, np.log(q), np.log(1 - q))))
+        worse = 0 if loss < 0.98 * best else worse + 1
+        if loss < best:
+            best, kept = loss, now
+        if worse == 2:
+            break
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Labelled documents are counted by their ids first, so that only the sample's texts are ever joined."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("__quality"))
-    rows = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("text").alias("__text"))
-    size = rows.agg(F.avg(F.octet_length("__text")).alias("n")).first()["n"] or 1
-    known = sampled(known, F.lit(max(64.0, float(size))), "doc_id", sample_bytes)
-    # of about sample_bytes / 64 ids at most, so that no text is shuffled for them
-    share = rows.join(F.broadcast(known), "doc_id").select("doc_id", F.col("__text").cast("binary").alias("text"), "__quality")
-    got = share.toPandas().sort_values(["doc_id", "__quality"], kind="stable")
+    """The sample is drawn from the sizes of labelled rows; only the sample's texts are ever joined."""
+    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("__quality")).distinct()
+    rows = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("__row"))
+    sizes = rows.select("doc_id", "__row", F.octet_length("text").alias("__n")).join(known, "doc_id")
+    drawn = checkpointed(sampled(sizes, F.col("__n"), ["__row"], sample_bytes).select("doc_id", "__row", "__quality").distinct())
+    # of sample_bytes / 64 rows at most
+    share = rows.join(F.broadcast(drawn), ["doc_id", "__row"]).select("doc_id", F.col("text").cast("binary").alias("text"), "__quality")
+    got = share.toPandas().sort_values(["doc_id", "__quality", "text"], kind="stable")
     return train([bytes(x) for x in got["text"]], got["__quality"].tolist())
 
 
 def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """Columns `keep` with score and predicted."""
-    source = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
+    keep = unless(keep, ["score", "predicted"])
+    source, at = with_text(docs, keep)
     schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in bites(batches, len(keep)):
-            raw, off = binary_parts(batch.column(len(keep)))
+        for batch in bites(batches, at):
+            raw, off = binary_parts(batch.column(at))
             score = np.full(batch.num_rows, 0.5) if model is None else model.score(raw, off)
             out = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], schema=arrow)
