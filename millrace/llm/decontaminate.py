@@ -1,220 +1,239 @@
 """Operator 8 - benchmark decontamination by a prefix-filtered set join.
 
 Every benchmark item yields windows of eight consecutive words (shorter items one window).  A window's shingles are its
-word pairs (a single word for one-word windows), ordered by how many windows of the whole benchmark hold them.  Exact
-containment needs all of them, so the rarest alone is the necessary prefix: a document can hold a window only where it
-holds that shingle.  Documents are joined on it; the shingle's place in the window bounds where the window may start and
-its length where it must end (both inside the document), and the words of the candidate span are then compared exactly.
-
-The benchmark travels to the tasks in groups of bounded size; every group scans the documents, so a benchmark beyond the
-bound costs more scans and nothing else.
-
-Defined results: null or word-free texts have no words and no hits; equal items count as items of their own; an item id
-that repeats with several texts counts once; an empty benchmark hits nothing; repeated document rows get rows of their own.
+word pairs (a single word for one-word windows), ordered by how many different windows of the whole benchmark hold them.
+Exact containment needs all of them, so the rarest alone is the necessary prefix: a document can hold a window only where it
+holds that shingle.  Documents give up the places of their shingles that may be prefixes, each with the words around it;
+these are joined with the windows on the shingle.  The shingle's place in the window bounds where the window starts and the
+window's length where it ends, and the bytes of the candidate span are then compared with the window's.
+
+The benchmark is a table from beginning to end.  What travels to all tasks is a bitmap of the prefixes, of at most
+2**MAX_BITS bits whatever the benchmark's size: a false positive of it costs one row in the join.  Windows are broadcast
+while there are at most BROADCAST_WINDOWS of them; beyond, both sides are exchanged by shingle and Spark splits hot ones.
+
+Defined results: null, empty and word-free texts have no words and no hits; very long texts are read whole; equal items count
+as items of their own; an item_id that repeats with several texts counts once; items without an id mark words as hit, count
+as one item together and add nothing to the joined ids; an empty benchmark hits nothing; repeated document rows get rows of
+their own; no documents give no rows.  A kept column that bears the name of one of the results is left out; all other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BASE, U64, binary_parts, bites, checkpointed, index_ranges, lower_ascii, mix, prefix_sums, runs, span_hash, table, with_text, word_spans
+from .common import BASE, U64, binary_parts, bites, by_salt, checkpointed, lower_ascii, mix, prefix_sums, runs, salt_mask, salted, span_hash, table, word_spans
 
 WINDOW = 8
-#: Benchmark text that a scan holds; larger benchmarks are scanned in groups of this size.
-GROUP_BYTES = 4_000_000
 SLICE_BYTES = 1 << 20
+#: Windows and candidates are made in batches of this many rows.
+BATCH_ROWS = 50_000
+MAX_BITS = 27
+BROADCAST_WINDOWS = 50_000
+BROADCAST_DOCS = 200_000
+RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
     return mix((h[:-1] * U64(0x9E3779B97F4A7C15)) ^ (h[1:] + U64(0x632BE59BD9B4E019)))
 
 
-def _signatures(h: np.ndarray, start: np.ndarray, length: np.ndarray, factor: int) -> np.ndarray:
-    acc = np.zeros(len(start), U64)
-    for j in range(WINDOW):
-        on = length > j
-        acc[on] = acc[on] * U64(factor) + h[start[on] + j]
-    return mix(acc + length.astype(U64))
-
-
-class Windows:
-    """Distinct windows of a group of items, sorted by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[object, bytes]]):
-        self.low = lower_ascii(np.frombuffer(b"".join(t for _, t in items), np.uint8))
-        off = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        self.s, self.e, first = word_spans(self.low, off)
-        h = span_hash(prefix_sums(self.low, 7, BASE), self.s, self.e, BASE) if len(self.s) else np.zeros(0, U64)
-        n_words = first[1:] - first[:-1]
-        n_windows = np.where(n_words > 0, np.maximum(1, n_words - WINDOW + 1), 0)
-        start = index_ranges(first[:-1], n_windows)
-        owner = np.repeat(np.arange(len(items)), n_windows)
-        length = np.minimum(n_words, WINDOW)[owner]
-        # equal windows of several items become one, with a list of item ids
-        sig, other = _signatures(h, start, length, 0x100000001B3), _signatures(h, start, length, BASE)
-        order = np.lexsort((owner, other, sig))
-        new = np.ones(len(order), bool)
-        new[1:] = (sig[order][1:] != sig[order][:-1]) | (other[order][1:] != other[order][:-1])
-        one = order[new]
-        bounds = np.concatenate([np.flatnonzero(new), [len(order)]])
-        names = [str(item) for item, _ in items]
-        ids = [sorted({names[o] for o in owner[order[x:y]].tolist()}) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        start, length, sig = start[one], length[one], sig[one]
-        # the rarest word pair of each window; the word itself where there is only one
-        pairs = _pairs(h) if len(h) else h
-        values, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        offset, least = np.zeros(len(start), np.int64), np.full(len(start), np.iinfo(np.int64).max)
-        for j in range(WINDOW - 1):
-            on = np.flatnonzero(length > j + 1)
-            c = counts[inverse[start[on] + j]]
-            better = c < least[on]
-            least[on[better]], offset[on[better]] = c[better], j
-        key = h[start] if len(h) else h
-        many = length > 1
-        key[many] = pairs[start[many] + offset[many]]
-        by = np.argsort(key, kind="stable")
-        self.keys, self.offset, self.length, self.start, self.sig = key[by], offset[by], length[by], start[by], sig[by]
-        self.items = [ids[i] for i in by.tolist()]
-        self.single, self.paired = np.unique(key[~many]), np.unique(key[many])
-
-    def words(self, c: int) -> list[bytes]:
-        at = int(self.start[c])
-        return [self.low[self.s[k] : self.e[k]].tobytes() for k in range(at, at + int(self.length[c]))]
-
-
-def _bucket_mask(keys: np.ndarray, bits: int) -> np.ndarray:
-    mask = np.zeros(1 << bits, bool)
-    mask[(keys >> U64(64 - bits)).astype(np.int64)] = True
-    return mask
-
-
-def find(low: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First words of each document and (document, word start, window) of every verified occurrence."""
-    s, e, first = word_spans(low, off)
-    none = np.zeros(0, np.int64)
-    if not len(s) or not len(w.keys):
-        return first, (none, none, none)
-    h = span_hash(prefix_sums(low, 7, BASE), s, e, BASE)
-    found = []
-    for keys, got in ((w.single, h), (w.paired, _pairs(h))):
-        if not len(keys) or not len(got):
-            continue
-        at = np.flatnonzero(_bucket_mask(keys, 20)[(got >> U64(44)).astype(np.int64)])
-        at = at[keys[np.minimum(np.searchsorted(keys, got[at]), len(keys) - 1)] == got[at]]
-        lo, hi = np.searchsorted(w.keys, got[at], "left"), np.searchsorted(w.keys, got[at], "right")
-        cand = index_ranges(lo, hi - lo)
-        found.append((np.repeat(at, hi - lo), cand))
-    if not found:
-        return first, (none, none, none)
-    at, cand = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    doc = np.searchsorted(first, at, side="right") - 1
-    begin = at - w.offset[cand]
-    fits = (begin >= first[doc]) & (begin + w.length[cand] <= first[doc + 1])
-    begin, cand, doc = begin[fits], cand[fits], doc[fits]
-    same = _signatures(h, begin, w.length[cand], 0x100000001B3) == w.sig[cand]
-    begin, cand, doc = begin[same], cand[same], doc[same]
-    exact = np.zeros(len(begin), bool)
-    for i, (b, c) in enumerate(zip(begin.tolist(), cand.tolist())):
-        n = int(w.length[c])
-        exact[i] = [low[s[k] : e[k]].tobytes() for k in range(b, b + n)] == w.words(c)
-    return first, (doc[exact], begin[exact], cand[exact])
-
-
-def _scan(w: Windows, n_keep: int, at: int, first_scan: bool, last_scan: bool, schema: pa.Schema, below: int | None):
-    """One scan: adds the hits of a group of windows to those of earlier scans; the last one makes the result.
-
-    With `below`, only the kept columns of documents with fewer items than that are returned.
+def _spaced(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Words joined by single spaces, and where each begins (with the end of the last one, plus one)."""
+    return b" ".join([low[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())]), np.concatenate([[0], np.cumsum(e - s + 1)])
+
+
+# ------------------------------------------------------------------------------------------------ the benchmark
+
+
+def windows(items: DataFrame) -> DataFrame:
+    """One row per item and window: item, win (its words joined by spaces), n, shingles in order."""
+
+    def run(batches):
+        for batch in bites(batches, 1, SLICE_BYTES):
+            raw, off = binary_parts(batch.column(1))
+            low = lower_ascii(raw)
+            s, e, first = word_spans(low, off)
+            if not len(s):
+                continue
+            h = span_hash(prefix_sums(low, 7, BASE), s, e, BASE)
+            pairs = _pairs(h)
+            text, at = _spaced(low, s, e)
+            for k in range(len(off) - 1):
+                a, b = int(first[k]), int(first[k + 1])
+                n = min(WINDOW, b - a)
+                for i in range(a, b - n + 1 if n else a, BATCH_ROWS):
+                    starts = np.arange(i, min(i + BATCH_ROWS, b - n + 1))
+                    held = [text[x:y] for x, y in zip(at[starts].tolist(), (at[starts + n] - 1).tolist())]
+                    own = h[starts][:, None] if n == 1 else pairs[starts[:, None] + np.arange(n - 1)[None, :]]
+                    shingles = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel().view(np.int64)))
+                    item = pa.array([batch.column(0)[k].as_py()] * len(starts), pa.string())
+                    yield pa.RecordBatch.from_arrays([item, pa.array(held, pa.binary()), pa.array(np.full(len(starts), n, np.int32)), shingles], ["item", "win", "n", "shingles"])
+
+    source = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(run, "item string, win binary, n int, shingles array<long>")
+
+
+def prefixed(made: DataFrame) -> DataFrame:
+    """key, win, n, offset of each different window: its rarest shingle and where it stands in the window."""
+    one = made.groupBy("win").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    placed = checkpointed(salted(one.select("win", "n", F.posexplode("shingles").alias("offset", "key")), "win"))
+    held = by_salt(placed.groupBy("key").agg(F.countDistinct("win").alias("held"), salt_mask()))
+    least = F.min(F.struct("held", "offset", "key")).alias("x")
+    return checkpointed(placed.join(held, ["key", "__salt"]).groupBy("win", "n").agg(least).select("x.key", "win", "n", "x.offset"))
+
+
+def bitmap(keys: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Bits of two hashes of every key, as 64-bit words; at most 2**max_bits bits come to the driver."""
+    bits = min(max_bits, max(16, int(64 * max(1, n_keys) - 1).bit_length()))
+    top, low = F.shiftrightunsigned(F.col("key"), 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    at = keys.select(F.explode(F.array(top, low)).alias("at"))
+    word = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit"))
+    got = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U64)
+    return out
+
+
+def _held(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = int(len(mask) * 64 - 1).bit_length()
+    out = np.ones(len(keys), bool)
+    for at in (keys >> U64(64 - bits), keys & U64((1 << bits) - 1)):
+        out &= (mask[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+    return out
+
+
+# ------------------------------------------------------------------------------------------------ documents
+
+
+def identity(docs: DataFrame, text: str) -> tuple[Column, Column]:
+    """128 bits of a row's text and doc_id; rows that are equal in both share their result."""
+    parts = [F.col(f"`{c}`") for c in ("doc_id", text) if c in docs.columns]
+    return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
+
+
+def candidates(docs: DataFrame, keep: list[str], text: str, mask: np.ndarray) -> DataFrame:
+    """A row (kept, k1, k2, n_words) for each document, and rows (k1, k2, key, at, around, begins) for its places.
+
+    `around` holds the words from which a window with that shingle can be made, joined by spaces; begins[o] is where the
+    word o before the shingle stands in it.
     """
+    k1, k2 = identity(docs, text)
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<x:int>")
+    source = docs.select(kept.alias("kept"), k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").cast("binary").alias("text"))
+    schema = T.StructType([
+        T.StructField("kept", source.schema["kept"].dataType), *source.schema.fields[1:3], T.StructField("n_words", T.LongType()), T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType()),
+        T.StructField("around", T.BinaryType()), T.StructField("begins", T.ArrayType(T.IntegerType())),
+    ])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in bites(batches, at):
-            kept, text, carried = batch.columns[:n_keep], batch.column(at), batch.columns[max(n_keep, at + 1) :]
-            raw, off = binary_parts(text)
-            n_words, n_hit, names = [], [], []
-            spans_out = []
+        for batch in bites(batches, 3):
+            raw, off = binary_parts(batch.column(3))
             for i, j in runs(off, SLICE_BYTES):
                 low, o = lower_ascii(raw[off[i] : off[j]]), off[i : j + 1] - off[i]
-                first, (doc, begin, cand) = find(low, o, w)
-                ids: list[set[str]] = [set() for _ in range(j - i)]
-                for d, c in set(zip(doc.tolist(), cand.tolist())):
-                    ids[d].update(w.items[c])
-                length = w.length[cand]
-                if not first_scan:
-                    for k, (old, spans) in enumerate(zip(carried[1].slice(i, j - i).to_pylist(), carried[0].slice(i, j - i).to_pylist())):
-                        ids[k].update(old)
-                        begin = np.concatenate([begin, np.array(spans[::2], np.int64) + first[k]])
-                        length = np.concatenate([length, np.array(spans[1::2], np.int64)])
-                names += [sorted(x) for x in ids]
-                if last_scan:
-                    edge = np.zeros(int(first[-1]) + 1, np.int64)
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + length, -1)
-                    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                    n_words.append(first[1:] - first[:-1])
-                    n_hit.append(hit[first[1:]] - hit[first[:-1]])
-                else:
-                    lists: list[list[int]] = [[] for _ in range(j - i)]
-                    owner = np.searchsorted(first, begin, side="right") - 1
-                    for d, x, n in set(zip(owner.tolist(), (begin - first[owner]).tolist(), length.tolist())):
-                        lists[d] += [x, n]
-                    spans_out += lists
-            if not names:
-                continue
-            out = list(kept)
-            count = np.array([len(x) for x in names], np.int64)
-            if last_scan and below is not None:
-                mask = pa.array(count < below)
-                out = [c.filter(mask) for c in out]
-            elif last_scan:
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-                out += [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_hit)), pa.array(count), pa.array(digest), pa.array(count >= 2)]
-            else:
-                out += [] if at < n_keep else [text]
-                out += [pa.array(spans_out, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
-
-    return run
-
-
-def grouped(items: DataFrame, item_id: str, text: str, group_bytes: int = GROUP_BYTES) -> list[list[tuple[object, bytes]]]:
-    """The benchmark in groups of at most `group_bytes` of text (one longer text stands alone)."""
-    out, now, size = [], [], 0
-    for item, body in items.select(item_id, F.col(text).cast("binary")).where(F.col(text).isNotNull()).toLocalIterator():
-        if size and size + len(body) > group_bytes:
-            out.append(now)
-            now, size = [], 0
-        now.append((item, bytes(body)))
-        size += len(body)
-    return [*out, now]
-
-
-RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
-CARRIED = [("__text", T.BinaryType()), ("__spans", T.ArrayType(T.LongType())), ("__ids", T.ArrayType(T.StringType()))]
-
-
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", group_bytes: int = GROUP_BYTES, below: int | None = None) -> DataFrame:
+                s, e, first = word_spans(low, o)
+                part, n = batch.slice(i, j - i), j - i
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(first[1:] - first[:-1]), *(pa.nulls(n, arrow.field(c).type) for c in range(4, 8))], schema=arrow)
+                if not len(s):
+                    continue
+                h = span_hash(prefix_sums(low, 7, BASE), s, e, BASE)
+                pairs = _pairs(h)
+                inside = np.ones(len(pairs), bool)
+                cuts = first[1:-1]
+                inside[cuts[(cuts > 0) & (cuts < len(h))] - 1] = False
+                for keys, reach, ok in ((h, 0, None), (pairs, WINDOW - 2, inside)):
+                    at = np.flatnonzero(_held(mask, keys) if ok is None else _held(mask, keys) & ok)
+                    for a in range(0, len(at), BATCH_ROWS):
+                        yield _places(part, low, s, e, first, at[a : a + BATCH_ROWS], keys, reach, arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def _places(part: pa.RecordBatch, low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, at: np.ndarray, keys: np.ndarray, reach: int, arrow: pa.Schema) -> pa.RecordBatch:
+    doc = np.searchsorted(first, at, side="right") - 1
+    begin = np.maximum(first[doc], at - reach)
+    end = np.minimum(first[doc + 1], at + (reach + 2 if reach else 1))
+    around, begins, cuts = [], [], [0]
+    for b, m, x in zip(begin.tolist(), at.tolist(), end.tolist()):
+        words, where = _spaced(low, s[b:x], e[b:x])
+        around.append(words)
+        begins.append(where[m - b :: -1])
+        cuts.append(cuts[-1] + m - b + 1)
+    owner = pa.array(doc)
+    lists = pa.ListArray.from_arrays(np.array(cuts, np.int32), pa.array(np.concatenate(begins).astype(np.int32)))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(len(at), arrow.field(0).type), part.column(1).take(owner), part.column(2).take(owner), pa.nulls(len(at), pa.int64()),
+            pa.array(keys[at].view(np.int64)), pa.array((at - first[doc]).astype(np.int32)), pa.array(around, pa.binary()), lists,
+        ],
+        schema=arrow,
+    )
+
+
+def hits(found: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """k1, k2, begin, n, win of every verified occurrence."""
+    keys = F.broadcast(keys) if n_keys <= BROADCAST_WINDOWS else keys
+    both = found.where("at IS NOT NULL").select("k1", "k2", "key", "at", "around", "begins").join(keys, "key")
+    start, size = F.get("begins", F.col("offset")), F.octet_length("win")
+    same = F.substr("around", start + 1, size) == F.col("win")
+    after = F.substr("around", start + size + 1, F.lit(1))
+    ends = (F.octet_length("around") == start + size) | (after == F.lit(b" "))
+    # the shingle's place bounds the start (begins has no such entry before the document), the window's length the end
+    return both.where((F.col("offset") < F.size("begins")) & same & ends).select("k1", "k2", (F.col("at") - F.col("offset")).alias("begin"), "n", "win")
+
+
+def _covered(spans: Column) -> Column:
+    """Words in the union of sorted (begin, n) spans."""
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["begin"] + x["n"]
+        return F.struct(F.greatest(acc["upto"], end).alias("upto"), (acc["sum"] + F.greatest(F.lit(0), end - F.greatest(acc["upto"], x["begin"]))).alias("sum"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["sum"])
+
+
+def by_document(hit: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, n_hit) and (k1, k2, n_items, items_sha256) of the documents with hits."""
+    hit = checkpointed(hit)
+    words = hit.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("begin", "n"))).alias("spans")).select("k1", "k2", _covered(F.col("spans")).alias("n_hit"))
+    owners = made.select("win", "item").distinct()
+    named = hit.select("k1", "k2", "win").distinct().join(owners, "win").select("k1", "k2", "item").distinct()
+    ids = F.sort_array(F.collect_list("item"))  # items without an id are left out here and counted
+    return words, named.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", below: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """Columns `keep` of every document with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     With `below`, the documents that hold windows of fewer items than that, in the columns `keep` alone.
     """
-    groups = grouped(items, "item_id", "text", group_bytes)
-    df, at = with_text(docs, keep, text)
-    kept = [df.schema[c] for c in keep]
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        added = ([] if below is not None else RESULT) if last else CARRIED[at < len(keep) :]
-        schema = T.StructType([*kept, *(T.StructField(*x) for x in added)])
-        df = df.mapInArrow(_scan(Windows(group), len(keep), at, k == 0, last, to_arrow_schema(schema), below), schema)
-        if not last:
-            df = checkpointed(df)
-    return df
+    made = checkpointed(windows(items))
+    keys = prefixed(made)
+    n_keys = keys.count()
+    mask = bitmap(keys, n_keys, max_bits)
+    own = [] if below is not None else [c for c in keep if c not in RESULT]
+    found = checkpointed(candidates(docs, own, text, mask))
+    words, named = by_document(hits(found, keys, n_keys), made)
+    if below is not None:
+        k1, k2 = identity(docs, text)
+        bad = checkpointed(named.where(F.col("n_items") >= below).select("k1", "k2"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), k1.alias("k1"), k2.alias("k2"))
+        rows = rows.join(F.broadcast(bad) if bad.count() <= BROADCAST_DOCS else bad, ["k1", "k2"], "left_anti")
+        return rows.select(*[F.col("kept").getField(c).alias(c) for c in keep])
+    per_doc = words.join(named, ["k1", "k2"])
+    rows = found.where("at IS NULL").select("kept", "k1", "k2", "n_words").join(per_doc, ["k1", "k2"], "left")
+    n_items, none = F.coalesce("n_items", F.lit(0).cast("long")), F.sha2(F.lit("").cast("binary"), 256)
+    return rows.select(
+        *[F.col("kept").getField(c).alias(c) for c in own], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"),
+        F.coalesce("items_sha256", none).alias("items_sha256"), (n_items >= 2).alias("contaminated"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
