@@ -9,12 +9,15 @@ coordinate have probability equal to the similarity.  ROWS coordinates make a ba
 candidates, and every reported link is verified on the shingles.
 
 Documents with equal shingles are one class and signed once.  Within a band key the classes are linked to their least
-member first.  Verified links make components; only band keys that still hold several components are looked at again: in
-small keys those pairs that the triangle inequality of the Jaccard distance to the least member leaves open, in large keys
-all members, block by block, of which a task returns a forest.
-
-Defined results: null texts and texts without words are classes of their own; repeated rows fall in one class; ties in
-rank cannot arise between different darts but by hash; a null doc_id links with nothing; an empty table stays empty.
+member first; a key's members meet what is known of the key over salts.  Verified links make components; only band keys that
+still hold several are looked at again: in small keys those pairs that the triangle inequality of the Jaccard distance to the
+least member leaves open, in large keys the members outside the largest component, block by block, against all others.  A
+task returns a forest of links, and only these few are settled again, as links between components.
+
+Defined results: null texts and texts without words are classes of their own; very long texts are signed whole, a slice of
+documents at a time; repeated rows fall in one class; the least doc_id of a component names it; a similarity of exactly 0.8
+links; ties in rank cannot arise between different darts but by hash; a null doc_id links with nothing; an empty table stays
+empty; doc_id and text alone are read, so columns of clashing names play no part, and `keep_one` passes all columns through.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, binary_parts, checkpointed, gram_hashes, index_ranges, lower_ascii, mix, runs, table, word_hashes, word_spans
+from .common import U64, binary_parts, by_salt, checkpointed, gram_hashes, index_ranges, lower_ascii, mix, runs, salt_mask, salted, table, word_hashes, word_spans
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -184,11 +187,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def blockwise(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links a, b between components of one key (columns key, cid, comp, n): a forest of them, never all pairs.
+def blockwise(members: DataFrame, sets: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
+    """Links a, b between components of one key (columns key, __salt, cid, comp): a forest of them, never all pairs.
 
-    Large keys are dealt to tasks as pairs of blocks.  A task has exact intersections from products of its members'
-    incidence matrix, whose columns are the regions that at least two members hold, a slice of columns at a time.
+    Only pairs of different components are open, so each has a member outside the key's largest component.  Those members
+    are dealt to blocks, the others to blocks of their own, and a task gets one of the former with any one: members of the
+    largest component are copied once for each block of outsiders, never for each other.  A task has exact intersections
+    from products of its members' incidence matrix, whose columns are the regions that at least two members hold, a slice
+    of columns at a time.
     """
 
     def run(key, tab):
@@ -232,8 +238,17 @@ def blockwise(members: DataFrame, sets: DataFrame, similarity: float, block: int
                 edges.append((int(cid[p]), int(cid[q])))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    df = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = block or BLOCK
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), salt_mask())
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.bit_or("__mask").alias("__mask"))
+    outside = F.ceil((F.col("n") - F.col("top.c")) / block).cast("int")
+    main = by_salt(main.select("key", F.col("top.comp").alias("main"), outside.alias("outside"), F.ceil(F.col("top.c") / block).cast("int").alias("inside"), "__mask"))
+    df = members.join(main, ["key", "__salt"]).withColumn("hash", F.xxhash64("cid"))
+    # outsiders are in blocks 0 .. outside - 1 and meet every block; the others come behind and meet those alone
+    out = F.col("comp") != F.col("main")
+    df = df.withColumn("block", F.when(out, F.pmod("hash", "outside")).otherwise(F.col("outside") + F.pmod("hash", "inside")).cast("int"))
+    last = F.when(out, F.col("outside") + F.col("inside") - 1).otherwise(F.col("outside") - 1)
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     df = df.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "block")
     df = df.join(sets.withColumnRenamed("id", "cid"), "cid").select("key", "i", "j", "cid", "comp", "block", "regions")
     return df.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
@@ -250,12 +265,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if total > distinct:
         least = F.min(F.struct("c1", "c2", "weight", "bands")).alias("x")
         one = checkpointed(rows.groupBy("doc_id").agg(least).select("doc_id", "x.*"))
-    worded = one.where(F.col("bands").isNotNull())
-    classes = worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    worded = salted(one.where(F.col("bands").isNotNull()), "doc_id")  # a class may hold a large share of the rows
+    classes = worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), salt_mask())
     classes = checkpointed(classes)
-    member = classes.select("cid", "weight", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.min(F.struct("cid", "weight")).alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = checkpointed(member.join(shared, "key").select("key", "cid", "weight", F.col("pivot.cid").alias("pivot"), F.col("pivot.weight").alias("pivot_weight")))
+    member = salted(classes.select("cid", "weight", F.explode("bands").alias("key")), "cid")
+    shared = by_salt(member.groupBy("key").agg(F.min(F.struct("cid", "weight")).alias("pivot"), F.count("*").alias("n"), salt_mask()).where("n > 1").drop("n"))
+    met = member.join(shared, ["key", "__salt"])
+    member = checkpointed(met.select("key", "__salt", "cid", "weight", F.col("pivot.cid").alias("pivot"), F.col("pivot.weight").alias("pivot_weight")))
     touched = member.select("cid").distinct()
     bodies = docs.select("doc_id", "text").join(touched, F.col("doc_id") == F.col("cid"), "left_semi")
     sets = region_sets(bodies)
@@ -275,11 +291,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # weight alone puts it out of the pivot's reach gets the bound that the weights give.
     far = member.join(stars.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("exact")), ["cid", "pivot"], "left")
     far = far.join(root.withColumnRenamed("node", "cid"), "cid", "left")
-    far = far.select("key", "cid", "weight", F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(F.col("exact")).alias("d"), F.coalesce("root", "cid").alias("comp"))
-    mixed = far.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    x = checkpointed(far.join(mixed, "key"))
-    sizes = checkpointed(x.groupBy("key").agg(F.count("*").alias("n")))
-    few = x.join(sizes.where(F.col("n") <= FEW).select("key"), "key")
+    far = far.select("key", "__salt", "cid", "weight", F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(F.col("exact")).alias("d"), F.coalesce("root", "cid").alias("comp"))
+    mixed = far.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), salt_mask()).where("lo < hi")
+    x = checkpointed(far.join(by_salt(mixed.select("key", "n", "__mask")), ["key", "__salt"]))
+    few = x.where(F.col("n") <= FEW)
     y = few.select("key", F.col("cid").alias("other"), F.col("weight").alias("w2"), F.col("d").alias("d2"), F.col("comp").alias("comp2"))
     near = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= 1 - similarity + 1e-9, F.lit(True))
     open_ = few.join(y, "key").where((F.col("cid") < F.col("other")) & (F.col("comp") != F.col("comp2")) & near & alike("weight", "w2"))
@@ -287,11 +302,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # a pivot is the least member of its keys, so a pair that was verified has its pivot second
     open_ = open_.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(open_, sets).where(F.col("similarity") >= similarity).select("a", "b")
-    many = x.join(sizes.where(F.col("n") > FEW), "key")
+    many = x.where(F.col("n") > FEW).select("key", "__salt", "cid", "comp")
     more = checkpointed(more.unionByName(blockwise(many, sets, similarity)))
-    root = components(links.unionByName(more))
-    by_class = classes.select("c1", "c2", "cid").join(root, F.col("cid") == F.col("node"), "left").select("c1", "c2", F.coalesce("root", "cid").alias("class_id"))
-    out = worded.select("doc_id", "c1", "c2").join(by_class, ["c1", "c2"]).select("doc_id", "class_id")
+    # the new links join components: only these are settled again
+    ends = root.select(F.col("node").alias("a"), F.col("root").alias("ra")), root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    again = components(more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    again = again.select(F.col("node").alias("comp"), F.col("root").alias("class"))
+    by_class = classes.select("c1", "c2", "cid", "__mask").join(root, F.col("cid") == F.col("node"), "left").select("c1", "c2", "__mask", F.coalesce("root", "cid").alias("comp"))
+    by_class = by_class.join(again, "comp", "left").select("c1", "c2", "__mask", F.coalesce("class", "comp").alias("class_id"))
+    out = worded.select("doc_id", "c1", "c2", "__salt").join(by_salt(by_class), ["c1", "c2", "__salt"]).select("doc_id", "class_id")
     out = out.unionByName(one.where(F.col("bands").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     return out if total == distinct else rows.select("doc_id").join(out, "doc_id")
 
