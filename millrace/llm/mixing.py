@@ -1,13 +1,18 @@
 """Operator 7 - mixing sources to target weights.
 
-Words are packed, source by source in document order, into blocks of a fixed length.  Target weights become a number of
+Words are packed, source by source in order of a hash of doc_id and then of doc_id, into blocks of a fixed length.  Target weights become a number of
 block slots per source; every output shard draws its source counts from a multinomial over what is left to place.  Slot
 k of a source maps to block perm(k mod blocks) in epoch k div blocks, where perm is a keyed Feistel permutation of the
 source's block indices, and slots join the blocks by index.  A source's slots never exceed three times its blocks and an
 epoch uses each block once, so no document is taken more than three times.
 
-Defined results: null or empty texts have size 0 and take 0 words; null is a source of its own and sorts last; repeated
-rows are packed one after another; an empty table gives an empty result; reruns agree as everything is keyed by a seed.
+Defined results: null or empty texts have size 0 and take 0 words; null is a source of its own and sorts last; very long texts
+fill many blocks, each of which is drawn for itself; rows that tie in doc_id and size take each other's place at will; repeated
+rows are packed one after another; an empty table, or one without words, gives rows that take nothing, or none; reruns agree as
+everything is keyed by a seed.  `mix_digest` reads doc_id, source and text alone; `mixed_texts` passes other columns through,
+whatever their names.
+
+Per-source figures (a size, a target and the slots of each output shard) are made on the driver: sources are few by assumption.
 """
 
 from __future__ import annotations

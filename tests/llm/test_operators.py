@@ -493,15 +493,19 @@ def contaminated(rows, items):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("group_bytes", [4_000_000, 200])
-def test_decontamination(spark, docs, corpus, no_docs, group_bytes):
+@pytest.mark.parametrize("bits", [27, 8])
+def test_decontamination(spark, docs, corpus, no_docs, bits, monkeypatch):
+    if bits == 8:  # nearly every place passes the bitmap, and both sides of the join are exchanged
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", 0)
+        monkeypatch.setattr(decontaminate, "BATCH_ROWS", 7)
     texts = [r[1] for r in corpus]
     items = [(1, " ".join(texts[10].split()[:12])), (2, (texts[62] or "")[:200].upper()), (3, texts[62]), (4, "one"), (5, "ab ab ab"), (6, None), (7, ""), (8, "..."), (9, "no such words in here at all today"), (9, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs, bench, ["doc_id"], group_bytes=group_bytes)
+    got = decontaminate.contamination(docs, bench, ["doc_id"], max_bits=bits)
     want = contaminated([(r[0], r[1]) for r in corpus], items)
     assert collections.Counter(tuple(r) for r in got.collect()) == want
-    clean = decontaminate.contamination(docs, bench, docs.columns, below=1, group_bytes=group_bytes)
+    clean = decontaminate.contamination(docs, bench, docs.columns, below=1, max_bits=bits)
     assert clean.columns == docs.columns and clean.count() == sum(n for r, n in want.items() if r[3] == 0)
     assert decontaminate.contamination(docs, bench.limit(0), ["doc_id"]).where("n_items > 0").count() == 0
     assert decontaminate.contamination(no_docs, bench, ["doc_id"]).count() == 0
