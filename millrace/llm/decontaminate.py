@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BASE, U64, binary_parts, bites, by_salt, checkpointed, lower_ascii, mix, prefix_sums, runs, salt_mask, salted, span_hash, table, word_spans
+from .common import BASE, U64, binary_parts, bites, by_salt, checkpointed, index_ranges, lower_ascii, mix, prefix_sums, runs, salt_mask, salted, span_hash, table, word_spans
 
 WINDOW = 8
 SLICE_BYTES = 1 << 20
@@ -44,8 +44,11 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 
 def _spaced(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Words joined by single spaces, and where each begins (with the end of the last one, plus one)."""
-    return b" ".join([low[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())]), np.concatenate([[0], np.cumsum(e - s + 1)])
+    """Words, each followed by a space, and where each begins (with the end of all)."""
+    at = np.concatenate([[0], np.cumsum(e - s + 1)])
+    text = np.append(low, np.uint8(0x20))[index_ranges(s, e - s + 1)]
+    text[at[1:] - 1] = 0x20
+    return text.tobytes(), at
 
 
 # ------------------------------------------------------------------------------------------------ the benchmark
@@ -143,30 +146,28 @@ def candidates(docs: DataFrame, keep: list[str], text: str, mask: np.ndarray) ->
                 if not len(s):
                     continue
                 h = span_hash(prefix_sums(low, 7, BASE), s, e, BASE)
-                pairs = _pairs(h)
+                pairs, spaced = _pairs(h), _spaced(low, s, e)
                 inside = np.ones(len(pairs), bool)
                 cuts = first[1:-1]
                 inside[cuts[(cuts > 0) & (cuts < len(h))] - 1] = False
                 for keys, reach, ok in ((h, 0, None), (pairs, WINDOW - 2, inside)):
                     at = np.flatnonzero(_held(mask, keys) if ok is None else _held(mask, keys) & ok)
                     for a in range(0, len(at), BATCH_ROWS):
-                        yield _places(part, low, s, e, first, at[a : a + BATCH_ROWS], keys, reach, arrow)
+                        yield _places(part, *spaced, first, at[a : a + BATCH_ROWS], keys, reach, arrow)
 
     return source.mapInArrow(run, schema)
 
 
-def _places(part: pa.RecordBatch, low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, at: np.ndarray, keys: np.ndarray, reach: int, arrow: pa.Schema) -> pa.RecordBatch:
+def _places(part: pa.RecordBatch, text: bytes, where: np.ndarray, first: np.ndarray, at: np.ndarray, keys: np.ndarray, reach: int, arrow: pa.Schema) -> pa.RecordBatch:
     doc = np.searchsorted(first, at, side="right") - 1
     begin = np.maximum(first[doc], at - reach)
     end = np.minimum(first[doc + 1], at + (reach + 2 if reach else 1))
-    around, begins, cuts = [], [], [0]
-    for b, m, x in zip(begin.tolist(), at.tolist(), end.tolist()):
-        words, where = _spaced(low, s[b:x], e[b:x])
-        around.append(words)
-        begins.append(where[m - b :: -1])
-        cuts.append(cuts[-1] + m - b + 1)
+    around = [text[a:b] for a, b in zip(where[begin].tolist(), (where[end] - 1).tolist())]
+    n = at - begin + 1
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    begins = where[np.repeat(at, n) - index_ranges(np.zeros(len(n), np.int64), n)] - np.repeat(where[begin], n)
     owner = pa.array(doc)
-    lists = pa.ListArray.from_arrays(np.array(cuts, np.int32), pa.array(np.concatenate(begins).astype(np.int32)))
+    lists = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(begins.astype(np.int32)))
     return pa.RecordBatch.from_arrays(
         [
             pa.nulls(len(at), arrow.field(0).type), part.column(1).take(owner), part.column(2).take(owner), pa.nulls(len(at), pa.int64()),
