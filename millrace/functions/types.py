@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from datetime import UTC, date, datetime, timedelta
+from datetime import UTC, date, datetime, time, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -75,8 +75,8 @@ def default_of(kind: str):
 _DATE = re.compile(r"(\d{4})-(\d{2})-(\d{2})", re.ASCII)
 _TIME = re.compile(r"(\d{2}):(\d{2}):(\d{2})", re.ASCII)
 _TIMEZ = re.compile(r"(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,3}))?", re.ASCII)
-_INSTANT = re.compile(r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})?", re.ASCII)
-_INSTANTZ = re.compile(r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?)(Z|[+-]\d{2}:\d{2})?", re.ASCII)
+_INSTANT = re.compile(r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?", re.ASCII)
+_INSTANTZ = re.compile(r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?)(Z|[+-]\d{2}:?\d{2})?", re.ASCII)
 
 
 def _days(y: int, m: int) -> int:
@@ -123,7 +123,7 @@ def encode_temporal(base: str, text: str, zone: str) -> str | None:
     elif m[3] == "Z":
         utc = local
     else:
-        hours, minutes = int(m[3][1:3]), int(m[3][4:6])
+        hours, minutes = int(m[3][1:3]), int(m[3][-2:])
         shift = timedelta(hours=hours, minutes=minutes)
         if minutes > 59 or shift > timedelta(hours=14):
             return None
@@ -145,6 +145,43 @@ def present(column: Column, kind: str, zone: str) -> Column:
     return F.coalesce(F.date_format(local, shown), column)
 
 
+def local_text(base: str, value: date | time | datetime, zone: str) -> str:
+    """Text of a column of a temporal type, as a reader in the zone sees it, cut to the type's precision.
+
+    A datetime without a zone is taken for one of the engine's; columns of dates and times take its parts as they stand.
+    """
+    if base == "date":
+        return f"{value.year:04d}-{value.month:02d}-{value.day:02d}"
+    clock = f"{value.hour:02d}:{value.minute:02d}:{value.second:02d}"
+    millis = f".{value.microsecond // 1000:03d}"
+    if base in ("time", "timez"):
+        return clock + (millis if base == "timez" else "")
+    if value.tzinfo is not None:
+        value = value.astimezone(ZoneInfo(zone))
+        clock = f"{value.hour:02d}:{value.minute:02d}:{value.second:02d}"
+    return f"{value.year:04d}-{value.month:02d}-{value.day:02d} {clock}" + (millis if base == "datetimez" else "")
+
+
+def local_value(base: str, text: str, zone: str, want: type) -> date | time | datetime:
+    """A Python value of presented text; raises ValueError where it is none.
+
+    As a datetime, a date is its midnight in the zone and a time stands on 1970-01-01 in UTC.
+    """
+    if base == "date":
+        day = date.fromisoformat(text) if _real_date(text) else None
+        if day is None:
+            raise ValueError(text)
+        return datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(zone)) if want is datetime else day
+    if base in ("time", "timez"):
+        if _real_time(text, _TIMEZ) is None:
+            raise ValueError(text)
+        clock = time.fromisoformat(text)
+        return datetime.combine(date(1970, 1, 1), clock, UTC) if want is datetime else clock
+    if encode_temporal("datetimez", text, "UTC") is None:
+        raise ValueError(text)
+    return datetime.fromisoformat(text).replace(tzinfo=ZoneInfo(zone))
+
+
 # ------------------------------------------------------------------------------------------------ literals
 
 
@@ -222,6 +259,7 @@ def encode_column(column: Column, kind: str, zone: str) -> Column:
     if base not in INSTANTS:
         return column
     shown = "yyyy-MM-dd HH:mm:ss" + (".SSS" if base == "datetimez" else "")
+    column = F.regexp_replace(column, r"([+-]\d{2})(\d{2})\z", "$1:$2")  # an offset may lack its colon
     offset = column.rlike(r"(Z|[+-]\d{2}:\d{2})\z")
     plain = F.to_utc_timestamp(F.try_to_timestamp(column), zone)
     shifted = F.to_utc_timestamp(F.try_to_timestamp(column), F.expr("current_timezone()"))

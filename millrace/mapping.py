@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 import dataclasses
-import re
 import types
 import typing
+from datetime import date, datetime, time
 from enum import Enum
 
 from .errors import MappingError
 from .functions import types as K
 from .plans.schema import PK, TableSchema
 
+_CAPITALS, _LETTERS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("abcdefghijklmnopqrstuvwxyz")
+_SMALL = _LETTERS | set("0123456789")
+#: What a field of a temporal column may be declared as, beside its text.
+_MOMENTS = {"date": (date, datetime), "time": (time, datetime), "timez": (time, datetime), "datetime": (datetime,), "datetimez": (datetime,)}
 _PYTHON = {"string": str, "int": int, "float": float, "bool": bool, "year": int, "month": int, "day": int}
 
 
 def snake_case(name: str) -> str:
-    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", name)).lower()
+    """camelCase to snake_case: a capital begins a word if a small letter or digit stands before it, or, within a run of
+    capitals, if a small letter follows."""
+    out = []
+    for i, c in enumerate(name):
+        if c in _CAPITALS and i:
+            before, after = name[i - 1], name[i + 1 : i + 2]
+            if before in _SMALL or (before in _CAPITALS and after in _LETTERS):
+                out.append("_")
+        out.append(c.lower() if c in _CAPITALS else c)
+    return "".join(out)
 
 
 def record(table: str, snake: bool = False):
@@ -40,19 +53,21 @@ class Slot:
     column: str
     enum: type[Enum] | None
     nullable: bool
+    kind: str = "string"
+    moment: type | None = None
 
 
 class RecordMap:
     """A record class compiled against a schema; every mismatch is found here, before any row is read."""
 
-    def __init__(self, cls: type, schema: TableSchema):
+    def __init__(self, cls: type, schema: TableSchema, zone: str = "UTC"):
         if not dataclasses.is_dataclass(cls):
             raise MappingError("RecordClassInvalid", cls=cls.__name__)
         options = getattr(cls, "__millrace__", {"table": schema.name, "snake": False})
         if options["table"] != schema.name:
             raise MappingError("RecordTableMismatch", cls=cls.__name__, table=schema.name)
         hints = typing.get_type_hints(cls)
-        self.cls, self.schema, self.slots = cls, schema, []
+        self.cls, self.schema, self.zone, self.slots = cls, schema, zone, []
         for f in dataclasses.fields(cls):
             name = f.metadata.get("column") or (snake_case(f.name) if options["snake"] else f.name)
             if name not in schema.columns:
@@ -72,10 +87,11 @@ class RecordMap:
         enum = hint if isinstance(hint, type) and issubclass(hint, Enum) else None
         plain = type(next(iter(enum)).value) if enum else hint
         want = _PYTHON.get(K.base_of(kind), str)
-        ok = plain is want and (can_be_null or not K.nullable(kind) or column_ == PK) and (column_ == PK or K.nullable(kind) or not can_be_null)
+        moment = hint if hint in _MOMENTS.get(K.base_of(kind), ()) else None
+        ok = (plain is want or moment is not None) and (can_be_null or not K.nullable(kind) or column_ == PK) and (column_ == PK or K.nullable(kind) or not can_be_null)
         if not ok:
             raise MappingError("RecordTypeMismatch", cls=self.cls.__name__, field=attribute, type=kind)
-        return Slot(attribute, column_, enum, can_be_null)
+        return Slot(attribute, column_, enum, can_be_null, K.base_of(kind), moment)
 
     def hydrate(self, row: dict):
         values = {}
@@ -84,9 +100,11 @@ class RecordMap:
             if v is None and not s.nullable:
                 raise MappingError("RecordNull", cls=self.cls.__name__, field=s.attribute)
             try:
-                values[s.attribute] = s.enum(v) if s.enum and v is not None else v
+                if v is not None and (s.enum or s.moment):
+                    v = s.enum(v) if s.enum else K.local_value(s.kind, v, self.zone, s.moment)
+                values[s.attribute] = v
             except ValueError as e:
-                raise MappingError("RecordEnumValue", cls=self.cls.__name__, field=s.attribute, value=v) from e
+                raise MappingError("RecordEnumValue" if s.enum else "RecordTemporalValue", cls=self.cls.__name__, field=s.attribute, value=v) from e
         return self.cls(**values)
 
     def extract(self, obj) -> dict:
@@ -95,6 +113,8 @@ class RecordMap:
         out = {}
         for s in self.slots:
             v = getattr(obj, s.attribute)
+            if s.moment and v is not None:
+                v = K.local_text(s.kind, v, self.zone)
             out[s.column] = v.value if isinstance(v, Enum) else v
         return out
 
@@ -109,7 +129,7 @@ class Registry:
         table = table or getattr(cls, "__millrace__", {}).get("table")
         if table in self.maps and self.maps[table].cls is not cls:
             raise MappingError("RecordTableTaken", table=table)
-        self.maps[table] = RecordMap(cls, self.db.schema(table))
+        self.maps[table] = RecordMap(cls, self.db.schema(table), self.db.zone)
 
     def forget(self, table: str) -> None:
         self.maps.pop(table, None)

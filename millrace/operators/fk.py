@@ -19,7 +19,7 @@ class WritePlan:
     """Deleted rows and patched cells by table, grown breadth first until no relation asks for more.
 
     Restrictions look at the state before the statement.  A row is deleted once and a cell patched once, so cycles end.
-    Row sets stay DataFrames of positions; each round is checkpointed.
+    Row sets stay DataFrames of positions and of the columns that relations refer to; each round is checkpointed.
     """
 
     def __init__(self, schemas: dict[str, TableSchema], relations: tuple[Relation, ...], base: Callable[[str], DataFrame]):
@@ -38,7 +38,8 @@ class WritePlan:
         return rows.join(self.gone[table], POS, "left_anti") if table in self.gone else rows
 
     def delete(self, table: str, rows: DataFrame) -> None:
-        rows = cut_lineage(self._fresh(table, rows))
+        referred = sorted({r.references for r in self.relations if r.parent == table and r.references in rows.columns})
+        rows = cut_lineage(self._fresh(table, rows).select(POS, *[F.col(f"`{c}`") for c in referred]))
         if rows.isEmpty():
             return
         pos = rows.select(POS)
@@ -78,7 +79,14 @@ class WritePlan:
         if K.base_of(child) != K.base_of(parent) or ("setNull" in (r.on_delete, r.on_update) and not K.nullable(child)):
             raise RelationError("RelationNotExecutable", relation=str(r.key))
 
+    def _check_backing(self, r: Relation) -> None:
+        """A restriction is probed through the index that backs the relation, which must be there and led by its column."""
+        if not any(i.name == r.backing_index and i.fields[0][0] == r.column for i in self.schemas[r.child].indexes):
+            raise RelationError("FkBackingIndexMissing", child=r.child, column=r.column)
+
     def _deleted(self, r: Relation, rows: DataFrame) -> None:
+        if r.on_delete == "restrict":
+            self._check_backing(r)
         hit = referring(self.base(r.child), r.column, rows.select(r.references))
         if r.on_delete == "restrict":
             if not hit.limit(1).isEmpty():
@@ -90,6 +98,8 @@ class WritePlan:
             self.change(r.child, r.column, hit.select(POS, old.alias("old"), F.lit(None).cast(hit.schema[r.column].dataType).alias("new")))
 
     def _changed(self, r: Relation, cells: DataFrame) -> None:
+        if r.on_update == "restrict":
+            self._check_backing(r)
         pairs = cells.where("old IS NOT NULL").select(F.col("old").alias("__old"), F.col("new").alias("__new")).dropDuplicates(["__old"])
         child = self.base(r.child)
         hit = child.join(pairs, F.col(f"`{r.column}`") == F.col("__old"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import types as K
 from ..plans.query import POS
 from ..plans.schema import PK, SERVICE_PREFIX, Index
+from ..sources.store import FILE, INDEX_FORMAT, Meta
 from .relational import duplicates, orphans
 
 SEVERITIES = ("critical", "error", "warning", "info")
@@ -22,6 +23,7 @@ CATEGORIES = {
     "meta_orphan_entry": "warning", "orphan_db_entry": "warning", "fk_backing_index_orphaned": "warning", "index_format_outdated": "info",
     "table_unverified": "info", "unique_index_missing": "info", "table_optimized": "info",
 }
+INDEX_FINDINGS = ("index_file_missing", "index_file_corrupt", "index_drift", "index_unreliable", "index_format_outdated")
 #: Samples of keys kept in a finding; the count is always of all.
 SAMPLE = 20
 
@@ -78,10 +80,15 @@ def table_issues(store, snapshot, name: str) -> list[Issue]:
     lost = [p for p in meta.parts if not store.files.exists(store.files.at(p))]
     if lost:
         return [Issue("table_file_missing", name, f"{len(lost)} parts are missing", context={"parts": lost})]
-    named = {p.split("/")[1] for p in meta.parts}
-    for entry in store.files.names(store.files.at(name)):
-        if entry not in named and not entry.startswith("p-"):
+    home = store.home(meta, name)
+    for entry in store.files.names(store.files.at(home)):
+        if not entry.startswith(("p-", "i-")):  # parts of earlier states stay for their readers
             out.append(Issue("orphan_index_file", name, f"{entry} is not part of the table", context={"file": entry}))
+    freshness = store.freshness(meta)
+    if freshness != "stamped":
+        what = "no commit has recorded its files" if freshness == "unstamped" else "its files or counters are not what the last commit left"
+        out.append(Issue("table_unverified", name, what, context={"freshness": freshness}))
+    out += index_issues(store, snapshot, name)
     df = store.frame(snapshot, name)
     # one pass gives the counters and the nulls where none may be
     strict = [c for c, k in schema.columns.items() if not K.nullable(k)]
@@ -102,16 +109,53 @@ def table_issues(store, snapshot, name: str) -> list[Issue]:
     return out
 
 
+def index_issues(store, snapshot, name: str) -> list[Issue]:
+    """Findings on the parts of a table's indexes: there, readable, complete, and of the values that the data has."""
+    schema, meta, out = snapshot.tables[name], snapshot.meta[name], []
+    every = store.all_files(meta)
+    for index in schema.indexes:
+        entries, context = meta.indexes.get(index.name, []), {"index": index.name}
+        if not entries:
+            continue
+        lost = [e["part"] for e in entries if not store.files.exists(store.files.at(e["part"]))]
+        if lost:
+            out.append(Issue("index_file_missing", name, f"{len(lost)} parts of {index.name} are missing", context=context))
+            continue
+        if any(e.get("format", 1) < INDEX_FORMAT for e in entries):
+            out.append(Issue("index_format_outdated", name, f"{index.name} has parts of an older form", context=context))
+        fields = [f for f, _ in index.fields]
+        try:
+            found = store.spark.read.parquet(*[store.files.at(e["part"]) for e in entries])
+            if not {*fields, POS, FILE} <= set(found.columns):
+                raise ValueError(f"columns {found.columns}")
+            n = found.count()
+        except Exception as e:  # whatever the reader makes of the files
+            out.append(Issue("index_file_corrupt", name, f"{index.name} is not readable: {str(e)[:200]}", context=context))
+            continue
+        if n != sum(e["rows"] for e in entries):
+            out.append(Issue("index_drift", name, f"{index.name} has {n} entries, {sum(e['rows'] for e in entries)} recorded", context=context))
+            continue
+        live = [f for f in every if any(store.covered(e, f) for e in entries)]
+        if not live:
+            continue
+        # the same rows on both sides, whatever their order
+        digest = [F.count("*").alias("n"), F.sum(F.xxhash64(POS, *[F.col(f"`{f}`") for f in fields]).cast("decimal(38,0)")).alias("h")]
+        names = store.spark.createDataFrame([(f,) for f in live], f"{FILE} string")
+        if tuple(store.only(snapshot, name, live).agg(*digest).first()) != tuple(store.index_frame(snapshot, name, index).join(F.broadcast(names), FILE).agg(*digest).first()):
+            out.append(Issue("index_unreliable", name, f"{index.name} does not hold the values of the data", context=context))
+    return out
+
+
 def database_issues(store, snapshot) -> list[Issue]:
     """Findings on the root, the manifest and the relations."""
-    out = []
+    out, homes = [], {store.home(snapshot.meta.get(n), n) for n in snapshot.tables}
     if snapshot.renaming:
         out.append(Issue("rename_incomplete", snapshot.renaming.get("to"), "a rename was begun and not finished", context=snapshot.renaming))
     for name in snapshot.meta:
         if name not in snapshot.tables:
             out.append(Issue("meta_orphan_entry", name, "the manifest has an entry for no table"))
     for entry in store.files.names(store.root):
-        if entry not in snapshot.tables and not entry.startswith(("_", ".")):
+        if entry not in homes and not entry.startswith(("_", ".")):
             out.append(Issue("orphan_db_entry", None, f"{entry} belongs to no table", context={"entry": entry}))
     backing = set()
     for r in snapshot.relations:
@@ -142,9 +186,7 @@ def repair_issue(store, snapshot, issue: Issue) -> None:
     """Mends `snapshot` (or the files) for one issue; what has no single right answer is reported and left."""
     t, meta = issue.table, snapshot.meta.get(issue.table) if issue.table else None
     if issue.category in ("meta_entry_missing", "meta_entry_corrupt"):
-        from ..sources.store import Meta
-
-        parts = [f"{t}/{p}" for p in store.files.names(store.files.at(t)) if p.startswith("p-") and not p.endswith(".done")]
+        parts = [f"{t}/{p}" for p in store.files.names(store.files.at(t)) if p.startswith("p-")]
         snapshot.meta[t] = Meta(parts)
         if parts:
             got = store.frame(snapshot, t).agg(F.count("*").alias("n"), F.max(PK).alias("m"), F.max(POS).alias("p")).first()
@@ -152,6 +194,10 @@ def repair_issue(store, snapshot, issue: Issue) -> None:
     elif issue.category == "table_file_missing":
         meta.parts = [p for p in meta.parts if store.files.exists(store.files.at(p))]
         meta.rows = store.frame(snapshot, t).count()
+    elif issue.category in INDEX_FINDINGS:
+        meta.indexes.pop(issue.context["index"], None)  # a scan of the table answers until the index is built anew
+    elif issue.category == "table_unverified":
+        snapshot.meta[t] = store.recounted(snapshot, t)
     elif issue.category == "meta_line_count_drift":
         meta.rows = issue.context["actual"]
     elif issue.category == "meta_last_id_drift":
@@ -159,7 +205,7 @@ def repair_issue(store, snapshot, issue: Issue) -> None:
     elif issue.category == "meta_orphan_entry":
         del snapshot.meta[t]
     elif issue.category == "orphan_index_file":
-        path = store.files.at(t, issue.context["file"])
+        path = store.files.at(store.home(meta, t), issue.context["file"])
         if store.files.is_dir(path) or (store.files.size(path) and not path.endswith(".index.ndjson")):
             issue.repair_error = "holds data; remove it by hand"
             return
@@ -182,6 +228,9 @@ def repair_issue(store, snapshot, issue: Issue) -> None:
         snapshot.relations = tuple(replace(r, backing_index=name) if r.key == tuple(issue.context["relation"]) else r for r in snapshot.relations)
     elif issue.category == "fk_backing_index_orphaned":
         schema = snapshot.tables[t]
+        if any(r.child == t and r.backing_index == issue.context["index"] for r in snapshot.relations):
+            issue.repaired = True  # mending a relation has put it to use
+            return
         snapshot.tables[t] = schema.with_(indexes=tuple(i for i in schema.indexes if i.name != issue.context["index"]))
     elif issue.category == "rename_incomplete":
         snapshot.renaming = None

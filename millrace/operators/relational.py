@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import IoError
+
 _TEMP: list[str] = []
 
 
@@ -16,11 +18,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's `spark.checkpoint.dir`; a temporary folder only where none is set."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        _TEMP.append(tempfile.mkdtemp(prefix="millrace-fk-"))
-        spark.sparkContext.setCheckpointDir(_TEMP[-1])
+        spark.sparkContext.setCheckpointDir(temporary(spark))
     return df.checkpoint(eager=True)
 
 
+def temporary(spark: SparkSession) -> str:
+    """A folder of this machine, for sessions that run in one process; refused where executors run elsewhere."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise IoError("SharedFolderMissing", master=master)
+    _TEMP.append(tempfile.mkdtemp(prefix="millrace-"))
+    return _TEMP[-1]
+
+
 def duplicates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Keys without nulls that occur more than once, with their `count`.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions import types as K
+from ..operators.relational import cut_lineage
 from .predicate import Condition, Filter, conjunction
 
 #: Physical order of stored rows; the last key of every ordering.
@@ -87,13 +88,31 @@ def select(
     # a slice needs the physical order even where none is asked for
     if keys or ((ordered or limit is not None or offset or distinct) and tie):
         df = df.orderBy(*by)
-    if offset:
+    if offset and limit is None and by:
+        df = skipped(df, offset)
+    elif offset:
         df = df.offset(offset)
     if limit is not None:
         df = df.limit(limit)
     return df.select(*[K.present(F.col(f"`{c}`"), columns[c], zone).alias(c) for c in (project if project is not None else columns)])
 
 
+def skipped(df: DataFrame, offset: int) -> DataFrame:
+    """A sorted frame without its first rows, in as many partitions as it has.
+
+    The sort is checkpointed, so that partitions stay what they are; one count for each tells where the first row lies.
+    """
+    df = cut_lineage(df.withColumn("__at", F.lit(0)))  # a column of its own keeps frames without columns apart
+    sizes = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    left = offset
+    for p in sorted(sizes):
+        if left < sizes[p]:
+            # row k of partition p is numbered p * 2**33 + k
+            return df.withColumn("__at", F.monotonically_increasing_id()).where(F.col("__at") >= (p << 33) + left).drop("__at")
+        left -= sizes[p]
+    return df.limit(0).drop("__at")
+
+
 def count(df: DataFrame, where: Filter | Iterable[Condition] = (), distinct: Sequence[str] = (), columns: dict[str, str] | None = None, zone: str = "UTC", table: str = "", collation: str | None = None) -> DataFrame:
     """One row `n`: matching rows, or distinct keys among them (a key of nulls counts)."""
     columns = columns or column_types(df)

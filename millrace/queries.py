@@ -6,12 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .database import Database
 from .errors import StoreError
-from .operators.relational import Edge, closure, duplicates, orphans, patched, referring, set_null, without
+from .operators.relational import Edge, closure, cut_lineage, duplicates, orphans, patched, referring, set_null, temporary, without
 from .plans import query
 from .plans.predicate import Condition, Filter, conjunction
 from .plans.schema import Index, Relation, TableSchema, Unique
@@ -127,11 +127,21 @@ _select(
 _select("deep_page", "orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 5000", order=["o_totalprice"], tie=["o_orderkey"], limit=20, offset=5000, project=["o_orderkey"])
 _select("offset_only", "customer", "SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 100", order=["c_custkey"], tie=[], offset=100, project=["c_custkey"])
 _select("limit_zero", "customer", "SELECT c_custkey FROM customer LIMIT 0", limit=0, project=["c_custkey"])
-_add("order_nulls_first", f"SELECT doc_id, quality FROM ({_LABELLED}) ORDER BY quality ASC NULLS FIRST, doc_id LIMIT 700")(
-    lambda spark, sf: query.select(_labelled(spark, sf), order=["quality"], tie=["doc_id"], limit=700, project=["doc_id", "quality"])
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    """Rows of an ordered frame with their number in that order: sorted partitions are counted, then numbered."""
+    df = cut_lineage(df).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    starts = df.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return df.join(F.broadcast(starts), "__p").withColumn("place", F.col("__start") + F.col("__k") + 1).drop("__p", "__k", "__start")
+
+
+_add("order_nulls_first", f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS FIRST, doc_id) AS place FROM ({_LABELLED})")(
+    lambda spark, sf: _ranked(query.select(_labelled(spark, sf), order=["quality"], tie=["doc_id"], project=["doc_id", "quality"]))
 )
-_add("order_nulls_last", f"SELECT doc_id, quality FROM ({_LABELLED}) ORDER BY quality DESC NULLS LAST, doc_id LIMIT 100")(
-    lambda spark, sf: query.select(_labelled(spark, sf), order=[("quality", "desc")], tie=["doc_id"], limit=100, project=["doc_id", "quality"])
+_add("order_nulls_last", f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) AS place FROM ({_LABELLED})")(
+    lambda spark, sf: _ranked(query.select(_labelled(spark, sf), order=[("quality", "desc")], tie=["doc_id"], project=["doc_id", "quality"]))
 )
 _select("select_one", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey LIMIT 1", [("o_custkey", "=", 7)], order=["o_orderkey"], tie=[], limit=1, project=["o_orderkey", "o_totalprice"])
 _select("point_lookup", "orders", f"SELECT {ORDERS} FROM orders WHERE o_orderkey = 4001", [("o_orderkey", "=", 4001)])
@@ -159,12 +169,8 @@ _add("count_distinct", "SELECT count(*) AS n FROM (SELECT DISTINCT l_returnflag,
 )
 _add("count_distinct_with_null", f"SELECT count(*) AS n FROM (SELECT DISTINCT quality FROM ({_LABELLED}))")(lambda spark, sf: query.count(_labelled(spark, sf), distinct=["quality"]))
 _add("exists_where", "SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 400000")(
-    lambda spark, sf: query.count(_table(spark, sf, "orders").where("o_totalprice > 400000").limit(1)).select((F.col("n") > 0).alias("found"))
-)
-_add("meta_counters", "SELECT count(*) AS row_count, max(o_orderkey) AS last_id, max(o_orderkey) + 1 AS next_id FROM orders")(
-    lambda spark, sf: _table(spark, sf, "orders").agg(F.count("*").alias("row_count"), F.max("o_orderkey").alias("last_id"), (F.max("o_orderkey") + 1).alias("next_id"))
+    lambda spark, sf: spark.createDataFrame([(query.exists(_table(spark, sf, "orders"), [Condition("o_totalprice", ">", 400000)]),)], "found boolean")
 )
-
 # ------------------------------------------------------------------------------------------------ constraints and relations
 
 _add("unique_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1")(
@@ -228,12 +234,6 @@ def _deleted(spark, sf):
     return without(df, _predicate(df, ("quality", "=", 1))).select("doc_id", "quality")
 
 
-_add("migrate_columns_result", "SELECT c_custkey, c_name, CAST(0 AS BIGINT) AS points, CAST(NULL AS VARCHAR) AS note FROM customer")(
-    lambda spark, sf: _table(spark, sf, "customer").select("c_custkey", "c_name", F.lit(0).cast("long").alias("points"), F.lit(None).cast("string").alias("note"))
-)
-_add("rename_column_result", "SELECT c_custkey, c_name AS title FROM customer")(lambda spark, sf: _table(spark, sf, "customer").select("c_custkey", "c_name").withColumnRenamed("c_name", "title"))
-
-
 @_add("join_two_step", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 250000")
 def _two_step(spark, sf):
     dear = query.select(_table(spark, sf, "orders"), [Condition("o_totalprice", ">", 250000)], project=["o_orderkey", "o_custkey"])
@@ -247,7 +247,7 @@ def _two_step(spark, sf):
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one only where the session names none (local runs)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/store-{uuid.uuid4().hex}"
+    return f"{shared or 'file://' + temporary(spark)}/store-{uuid.uuid4().hex}"
 
 
 def _shop(spark: SparkSession, sf: str, on_delete: str = "cascade", on_update: str = "noAction") -> Database:
@@ -358,6 +358,326 @@ def _store_validate(spark, sf):
     return spark.createDataFrame(rows, "category string, severity string, found string")
 
 
+# ------------------------------------------------------------------------------------------------ more of the store
+
+_add("meta_counters", "SELECT count(*) AS row_count, max(o_orderkey) + 1 AS last_id, max(o_orderkey) + 2 AS next_id FROM orders")(
+    lambda spark, sf: _counters(spark, _shop(spark, sf))
+)
+
+
+def _counters(spark, db) -> DataFrame:
+    return spark.createDataFrame([(db.count("orders"), db.last_id("orders"), db.table("orders").next_id())], "row_count long, last_id long, next_id long")
+
+
+@_add("migrate_columns_result", f"SELECT id, status, total, 0::BIGINT AS points, NULL::VARCHAR AS note FROM ({_STORED})")
+def _migrated(spark, sf):
+    db = _shop(spark, sf)
+    db.drop_relation(db.relations()[0])
+    db.drop_index("orders", "by_customer")
+    db.migrate("orders", {"status": "string", "total": "float", "points": "int", "note": "string|null"})
+    return db.read_all("orders")
+
+
+@_add("rename_column_result", f"SELECT id, customer, status AS state, total FROM ({_STORED})")
+def _renamed(spark, sf):
+    db = _shop(spark, sf)
+    db.rename_column("orders", "status", "state")
+    return db.read_all("orders")
+
+
+_add("store_rename_table", f"SELECT * FROM ({_STORED}) WHERE total > 300000")(lambda spark, sf: _moved(_shop(spark, sf)))
+
+
+def _moved(db: Database) -> DataFrame:
+    db.rename_table("orders", "sales")
+    db.create_table(TableSchema.create("orders", {"x": "int"}))  # the old name is free, the old folder is not
+    db.insert("orders", {"x": 1})
+    return db.select("sales", [Condition("total", ">", 300000)])
+
+
+def _codes(spark: SparkSession, cases: dict[str, Callable]) -> DataFrame:
+    """Name and error code of each case, or `none`."""
+    rows = []
+    for name, work in cases.items():
+        code = "none"
+        try:
+            work()
+        except StoreError as e:
+            code = e.code
+        rows.append((name, code))
+    return spark.createDataFrame(rows, "name string, code string")
+
+
+def _values(**codes: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in codes.items()) + ") t(name, code)"
+
+
+@_add("query_errors", _values(column="QueryUnknownColumn", operator="InvalidOperator", type="TypeMismatch", nan="NonFiniteFloat", pair="InvalidBetween", list="InvalidIn", like="LikeOnNonStringColumn", operand="InvalidOperand", limit="InvalidLimit", offset="InvalidOffset", direction="InvalidSortDirection", distinct="QueryUnknownColumn", boolean="TypeMismatch"))
+def _query_errors(spark, sf):
+    t = _table(spark, sf, "orders")
+    run = lambda *c, **o: (lambda: query.select(t, [Condition(*c)] if c else (), **o))
+    return _codes(spark, {
+        "column": run("nowhere", "=", 1), "operator": run("o_custkey", "~", 1), "type": run("o_custkey", "=", "7"), "nan": run("o_totalprice", ">", float("nan")), "pair": run("o_custkey", "BETWEEN", [1]),
+        "list": run("o_custkey", "IN", [[1]]), "like": run("o_custkey", "LIKE", "1%"), "operand": run("o_custkey", ">", None), "limit": run(limit=-1), "offset": run(offset=-1),
+        "direction": run(order=[("o_custkey", "up")]), "distinct": run(distinct=["nowhere"]), "boolean": run("o_custkey", "=", True),
+    })
+
+
+@_add("store_unique", _values(insert="UniqueViolation", together="UniqueViolation", update="UniqueViolation", same="none", constraint="UniqueViolation", primary="UniqueViolation"))
+def _unique(spark, sf):
+    db = _shop(spark, sf)
+    row = {"code": 7, "name": "again", "balance": 1.0}
+    return _codes(spark, {
+        "insert": lambda: db.insert("customers", row), "together": lambda: db.insert_many("customers", [{**row, "code": -1}, {**row, "code": -1}]),
+        "update": lambda: db.update("customers", [Condition("code", "=", 8)], {"code": 7}), "same": lambda: db.update("customers", [Condition("code", "=", 7)], {"code": 7}),
+        "constraint": lambda: db.add_unique("orders", Unique("u_status", ("status",))), "primary": lambda: db.import_records("customers", [{"id": 1, **row}, {"id": 1, **row, "code": 9}]),
+    })
+
+
+@_add("store_rejected_values", _values(missing="RequiredColumnMissing", null="NullInColumn", text="TypeMismatch", infinite="NonFiniteFloat", widened="none", unknown="none", id="ImportIdInvalid", bulk="ImportValuesInvalid", kind="TypeMismatch"))
+def _rejected(spark, sf):
+    db, row = _shop(spark, sf), {"customer": None, "status": "N", "total": 1.0}
+    bad = spark.sql("SELECT 1L AS id, CAST('nan' AS DOUBLE) AS total, 'N' AS status, 1L AS customer")
+    return _codes(spark, {
+        "missing": lambda: db.insert("orders", {"status": "N"}), "null": lambda: db.insert("orders", {**row, "status": None}), "text": lambda: db.insert("orders", {**row, "total": "1"}),
+        "infinite": lambda: db.insert("orders", {**row, "total": float("inf")}), "widened": lambda: db.insert("orders", {**row, "total": 1}), "unknown": lambda: db.insert("orders", {**row, "nowhere": 1}),
+        "id": lambda: db.import_records("orders", [{**row, "id": 0}]), "bulk": lambda: db.import_records("orders", bad), "kind": lambda: db.import_records("orders", bad.withColumn("status", F.lit(1))),
+    })
+
+
+@_add("store_update_set_null", f"SELECT id, CASE WHEN customer BETWEEN 5 AND 9 THEN NULL ELSE customer END AS customer FROM ({_STORED})")
+def _update_set_null(spark, sf):
+    db = _shop(spark, sf, on_update="setNull")
+    for code in range(5, 10):
+        db.update("customers", [Condition("code", "=", code)], {"code": -code})
+    return db.select("orders", project=["id", "customer"])
+
+
+@_add("store_update_restrict", "SELECT 'ForeignKeyRestricted' AS code, (SELECT min(o_custkey) FROM orders) AS kept, (SELECT min(o_custkey) FROM orders) AS still")
+def _update_restrict(spark, sf):
+    db, code = _shop(spark, sf, on_update="restrict"), "none"
+    least = db.table("orders").order_by("customer").where("customer", "=", None, True).limit(1).one()["customer"]
+    try:
+        db.update("customers", [Condition("code", "=", least)], {"code": -1})
+    except StoreError as e:
+        code = e.code
+    kept = db.table("customers").where("code", "=", least).one()["code"]
+    return spark.createDataFrame([(code, kept, least)], "code string, kept long, still long")
+
+
+@_add("store_cyclic_cascade", """
+WITH RECURSIVE t AS (SELECT o_orderkey + 1 AS id, CASE WHEN o_orderkey = 0 THEN 33 WHEN o_orderkey % 4 = 0 THEN o_orderkey // 8 * 4 + 1 ELSE o_orderkey END AS parent FROM orders WHERE o_orderkey < 400),
+gone AS (SELECT id FROM t WHERE id = 5 UNION SELECT t.id FROM t JOIN gone ON t.parent = gone.id)
+SELECT id, parent FROM t WHERE id NOT IN (SELECT id FROM gone)
+""")
+def _cyclic(spark, sf):
+    """A tree whose root hangs on one of its leaves: deleting any node deletes all that can be reached."""
+    db = Database.create(spark, _folder(spark))
+    db.create_table(TableSchema.create("nodes", {"parent": "int"}))
+    parent = "CASE WHEN o_orderkey = 0 THEN 33 WHEN o_orderkey % 4 = 0 THEN o_orderkey div 8 * 4 + 1 ELSE o_orderkey END AS parent"
+    db.import_records("nodes", _table(spark, sf, "orders").where("o_orderkey < 400").selectExpr("o_orderkey + 1 AS id", parent))
+    db.add_relation(Relation.declared("nodes", "parent", "nodes", on_delete="cascade"))
+    db.delete("nodes", [Condition("id", "=", 5)])
+    return db.read_all("nodes")
+
+
+@_add("distinct_signed_zero", "SELECT count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN '-0.0' ELSE '0.0' END) AS n FROM orders")
+def _signed_zero(spark, sf):
+    df = _table(spark, sf, "orders").selectExpr("o_totalprice * 0.0D * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS x")
+    return query.count(df, distinct=["x"])
+
+
+_add("order_collated", "SELECT c_custkey, row_number() OVER (ORDER BY upper(c_mktsegment), c_custkey) AS place FROM customer")(
+    lambda spark, sf: _ranked(query.select(_table(spark, sf, "customer"), order=["c_mktsegment"], tie=["c_custkey"], project=["c_custkey"], collation="UNICODE"))
+)
+
+
+@_add("store_index_plan", f"SELECT 'by_customer' AS plan, * FROM ({_STORED}) WHERE customer = 7 AND total > 1000 UNION ALL SELECT 'scan', * FROM ({_STORED}) WHERE status = 'P' AND total > 250000 UNION ALL SELECT 'by_customer_total', * FROM ({_STORED}) WHERE customer = 11 AND total BETWEEN 50000 AND 200000")
+def _index_plan(spark, sf):
+    """Rows found through an index, through the better of two, and by a scan, after inserts, updates and deletes."""
+    db = _shop(spark, sf)
+    db.add_index("orders", Index.on("by_customer_total", "customer", ("total", "desc")))
+    db.drop_relation(db.relations()[0])
+    db.rebuild_all_indexes("orders")
+    top = db.last_id("orders")
+    db.insert_many("orders", [{"customer": 7, "status": "N", "total": 2000.0 + i} for i in range(3)])
+    db.update("orders", [Condition("customer", "=", 11), Condition("total", "<", 50000)], {"total": 49999.0})
+    db.delete("orders", [Condition("id", ">", top)])
+    out = None
+    for where in ([("customer", "=", 7), ("total", ">", 1000)], [("status", "=", "P"), ("total", ">", 250000)], [("customer", "=", 11), ("total", "BETWEEN", [50000, 200000])]):
+        conditions = [Condition(*c) for c in where]
+        plan = db.explain_index("orders", conditions)
+        if where[0][1:] == ("=", 7):
+            db.drop_index("orders", "by_customer_total")
+            plan = db.explain_index("orders", conditions)
+            part = cut_lineage(db.select("orders", conditions))
+            db.add_index("orders", Index.on("by_customer_total", "customer", ("total", "desc")))
+            db.rebuild_index("orders", "by_customer_total")
+        else:
+            part = db.select("orders", conditions)
+        part = part.select(F.lit(plan or "scan").alias("plan"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_add("store_positions", f"SELECT id, total FROM ({_STORED}) QUALIFY row_number() OVER (ORDER BY id) IN (1, 3, 10)")
+def _positions(spark, sf):
+    db = _shop(spark, sf)
+    at = db.stored("orders").orderBy("id").select("__pos").limit(10).collect()
+    wanted = spark.createDataFrame([(at[i][0],) for i in (9, 0, 2)], "p long")
+    return db.by_position("orders", wanted).select("id", "total")
+
+
+@_add("store_stream", f"SELECT customer, status, total FROM ({_STORED}) UNION ALL SELECT customer, status, total FROM ({_STORED}) WHERE total > 200000")
+def _stream(spark, sf):
+    """Two streams of batches into one table, one of them delivered twice."""
+    from .streaming.append import append_batch
+
+    db = _shop(spark, sf)
+    rows = cut_lineage(db.read_all("orders").drop("id"))
+    db.truncate("orders")
+    for k in range(3):
+        append_batch(db, "orders", rows.where(F.pmod("customer", F.lit(3)) == k), k, "first")
+    append_batch(db, "orders", rows, 2, "first")
+    for _ in range(2):
+        append_batch(db, "orders", rows.where("total > 200000"), 0, "second")
+    ids = db.stored("orders").agg(F.max("id") - F.count("*"), F.countDistinct("id") - F.count("*")).first()
+    return db.read_all("orders").drop("id") if tuple(ids) == (0, 0) else spark.createDataFrame([], "customer long, status string, total double")
+
+
+@_add("store_temporal", """
+SELECT o_orderkey + 1 AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + to_hours(2 + o_orderkey % 10), '%Y-%m-%d %H:%M:%S') AS made, strftime(o_orderdate - to_hours(1), '%Y-%m-%d %H:%M:%S') AS shifted
+FROM orders WHERE o_orderkey < 200
+""")
+def _temporal(spark, sf):
+    """Instants given in the engine's zone (two hours ahead of UTC all year) or with an offset, read back in that zone."""
+    db = Database.create(spark, _folder(spark), zone="Etc/GMT-2")
+    db.create_table(TableSchema.create("t", {"day": "date", "made": "datetime", "shifted": "datetime"}))
+    t = "CAST(o_orderdate AS TIMESTAMP)"
+    made = f"date_format({t} + make_interval(0, 0, 0, 0, 2 + o_orderkey % 10), 'yyyy-MM-dd HH:mm:ss') AS made"
+    given = f"concat(date_format({t}, 'yyyy-MM-dd HH:mm:ss'), '+0300') AS shifted"
+    db.import_records("t", _table(spark, sf, "orders").where("o_orderkey < 200").selectExpr("o_orderkey + 1 AS id", f"date_format({t}, 'yyyy-MM-dd') AS day", made, given))
+    return db.read_all("t")
+
+
+@_add("store_records", f"SELECT id, customer, total FROM ({_STORED}) WHERE total > 400000")
+def _records(spark, sf):
+    """Rows as objects of a record class and back."""
+    from dataclasses import dataclass
+
+    from .mapping import record
+
+    @record("orders")
+    @dataclass
+    class Order:
+        id: int | None
+        customer: int | None
+        status: str
+        total: float
+
+    db = _shop(spark, sf)
+    db.records.register(Order)
+    rows = [(o.id, o.customer, o.total) for o in db.table("orders").where("total", ">", 400000).records()]
+    return spark.createDataFrame(rows, "id long, customer long, total double")
+
+
+@_add("store_directory", f"SELECT * FROM ({_STORED})")
+def _directory(spark, sf):
+    from .sources.directory import export_directory, import_directory, validate_directory
+
+    db, path = _shop(spark, sf), _folder(spark)
+    export_directory(db, path)
+    other = Database.create(spark, _folder(spark))
+    import_directory(other, path)
+    return other.read_all("orders") if not validate_directory(spark, path).has_errors() else other.read_all("customers")
+
+
+@_add("store_backup_folder", f"SELECT * FROM ({_STORED})")
+def _backup_folder(spark, sf):
+    db, folder = _shop(spark, sf), f"{_folder(spark)}/"
+    db.backup(folder)
+    db.truncate("orders")
+    db.restore(folder)
+    return db.read_all("orders")
+
+
+@_add("store_broken_lines", "SELECT 6 AS rows, 3 AS broken, 1 AS odd, 'BrokenRecordBlocksRewrite' AS refused, 'InvalidIdentifier' AS strange")
+def _broken_lines(spark, sf):
+    db, path = _shop(spark, sf), _folder(spark)
+    good = [f'{{"id":{i},"customer":{i},"status":"N","total":1.5}}' for i in range(1, 6)]
+    lines = [*good[:3], "not json", "[1]", *good[3:], '{"id":6,"customer":"x","status":"N","total":2}', '{"id":7,"cu']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/broken")
+    spark.createDataFrame([('{"id":1,"a b":2}',)], "value string").coalesce(1).write.text(f"{path}/strange")
+    db.set_broken_records("Refuse")
+    codes = {r["name"]: r["code"] for r in _codes(spark, {"refused": lambda: db.import_ndjson("orders", f"{path}/broken"), "strange": lambda: db.import_ndjson("orders", f"{path}/strange")}).collect()}
+    got = db.import_ndjson("orders", f"{path}/broken", "Drop")
+    return spark.createDataFrame([(got["rows"], got["broken"], got["odd"], codes["refused"], codes["strange"])], "rows int, broken int, odd int, refused string, strange string")
+
+
+@_add("store_schema_errors", _values(table="TableAlreadyExists", case="TableAlreadyExists", name="InvalidIdentifier", type="InvalidColumnType", index="InvalidIndexFields", column="ColumnInUse", migrate="MigrateColumnTypeChange", default="MigrateColumnNoDefault", relation="RelationTypeMismatch", target="RelationReferencesNotUnique", twice="RelationDuplicate", null="SetNullNeedsNullable", constraint="UniqueInUse", primary="PrimaryIndexNotDroppable", id="PkColumnNotRenamable"))
+def _schema_errors(spark, sf):
+    db = _shop(spark, sf)
+    new = lambda name, columns=None, indexes=(): (lambda: db.create_table(TableSchema.create(name, columns or {"a": "int"}, indexes)))
+    link = lambda *a, **o: (lambda: db.add_relation(Relation.declared(*a, **o)))
+    return _codes(spark, {
+        "table": new("orders"), "case": new("Orders"), "name": new("a b"), "type": new("n", {"a": "decimal"}), "index": new("n", {"a": "int"}, [Index("i", ())]),
+        "column": lambda: db.migrate("orders", {"status": "string", "total": "float"}), "migrate": lambda: db.migrate("customers", {"code": "int", "name": "int", "balance": "float"}),
+        "default": lambda: db.migrate("customers", {"code": "int", "name": "string", "balance": "float", "day": "date"}), "relation": link("orders", "status", "customers", "code"),
+        "target": link("orders", "total", "customers", "balance", on_delete="cascade"), "twice": link("orders", "customer", "customers", "code"), "null": link("customers", "code", "orders", "id", on_delete="setNull"),
+        "constraint": lambda: db.drop_unique("customers", "u_code"), "primary": lambda: db.drop_index("orders", "id"), "id": lambda: db.rename_column("orders", "id", "key"),
+    })
+
+
+@_add("store_catalog", "SELECT * FROM (VALUES (0, 'id', 'int', NULL), (1, 'customer', 'int|null', 'who bought'), (2, 'status', 'string', NULL), (3, 'total', 'float', NULL)) t(position, \"column\", type, comment)")
+def _catalog(spark, sf):
+    db = _shop(spark, sf)
+    db.set_column_comments("orders", {"customer": "who bought", "status": "x"})
+    db.set_column_comments("orders", {"status": None})
+    return db.describe("orders")
+
+
+@_add("store_repair", f"SELECT 'before' AS state, category FROM (VALUES ('meta_line_count_drift'), ('meta_last_id_drift'), ('table_unverified'), ('index_drift'), ('meta_orphan_entry'), ('unique_index_missing')) t(category) UNION ALL SELECT 'after', 'unique_index_missing' UNION ALL SELECT 'rows', (SELECT count(*) FROM ({_STORED}))::VARCHAR UNION ALL SELECT 'next', (SELECT max(id) + 1 FROM ({_STORED}))::VARCHAR")
+def _repaired(spark, sf):
+    import json
+
+    db = _shop(spark, sf)
+    db.rebuild_index("orders", "by_customer")
+    files, path = db.store.files, db.store.path
+    raw = json.loads(files.read(path))
+    raw["meta"]["orders"] |= {"rows": 1, "last_id": 2}
+    raw["meta"]["orders"]["indexes"]["by_customer"][0]["rows"] += 1
+    raw["meta"]["ghost"] = {"parts": [], "rows": 0, "last_id": 0, "next_pos": 0}
+    files.replace(path, json.dumps(raw))
+    rows = [("before", i.category) for i in db.validate().issues]
+    db.repair()
+    rows += [("after", i.category) for i in db.validate().issues]
+    return spark.createDataFrame([*rows, ("rows", str(db.count("orders"))), ("next", str(db.next_id("orders")))], "state string, category string")
+
+
+@_add("store_gate", f"SELECT (SELECT max(id) + 1 FROM ({_STORED})) AS id, 'FkBackingIndexMissing' AS backing, 'StorageReadOnly' AS strange, 'LockTimeout' AS locked")
+def _gate(spark, sf):
+    """Counters that were set back give out no id twice; a restriction without its index, a strange format and a held lock refuse."""
+    import json
+
+    db = _shop(spark, sf, on_delete="restrict")
+    files, path = db.store.files, db.store.path
+    raw = json.loads(files.read(path))
+    raw["meta"]["orders"] |= {"rows": 1, "last_id": 2}
+    raw["relations"][0]["backingIndex"] = "gone"
+    files.replace(path, json.dumps(raw))
+    id_ = db.insert("orders", {"customer": None, "status": "N", "total": 1.0})
+    codes = {"backing": lambda: db.delete("customers", [Condition("code", "=", 7)])}
+    got = {r["name"]: r["code"] for r in _codes(spark, codes).collect()}
+    raw = json.loads(files.read(path))
+    raw["format"]["roCompat"].append("new-thing")
+    files.replace(path, json.dumps(raw))
+    got |= {r["name"]: r["code"] for r in _codes(spark, {"strange": lambda: db.truncate("orders")}).collect()}
+    other = Database.open(spark, db.store.root, lock_timeout=0.1)
+    with db.store.lock:
+        got |= {r["name"]: r["code"] for r in _codes(spark, {"locked": lambda: other.truncate("orders")}).collect()}
+    return spark.createDataFrame([(id_, got["backing"], got["strange"], got["locked"])], "id long, backing string, strange string, locked string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest finished orders."""
     where = [Condition("o_orderstatus", "=", "F"), Condition("o_totalprice", ">", 100000)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import types as K
 from ..plans.query import POS
-from ..plans.schema import TableSchema
+from ..plans.schema import TableSchema, check_name
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +31,13 @@ def split(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(good), df.where(~good).drop("__keys")
 
 
+def check_names(records: DataFrame) -> None:
+    """The keys of the first record must be names that a column can have: others were put there by foreign hands."""
+    first = records.orderBy(POS).select("__keys").first()
+    for name in first["__keys"] if first else ():
+        check_name(name)
+
+
 def typed(records: DataFrame, schema: TableSchema) -> DataFrame:
     """Columns of the schema in stored form, __keys and POS.
 

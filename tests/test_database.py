@@ -310,13 +310,14 @@ def test_cache_and_record_classes(spark, root):
 
 
 def test_append_stream(spark, db, tmp_path):
-    from millrace.streaming.append import append_batch, append_stream
+    from millrace.streaming.append import append_batch, append_stream, query_id
 
     spark.range(3).selectExpr("concat('s', id) AS title").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("title string").parquet(f"{tmp_path}/in")
     append_stream(db, "items", stream, f"{tmp_path}/cp").awaitTermination(60)
     assert sorted(db.table("items").column("title")) == ["s0", "s1", "s2"] and sorted(db.table("items").column("id")) == [1, 2, 3]
-    assert append_batch(db, "items", spark.sql("SELECT 'again' AS title"), 0) == 0 and db.count("items") == 3
+    name = query_id(db, f"{tmp_path}/cp")
+    assert append_batch(db, "items", spark.sql("SELECT 'again' AS title"), 0, name) == 0 and db.count("items") == 3
 
 
 def test_writes_replace_only_the_files_they_touch(db):
@@ -372,7 +373,7 @@ def test_formats_from_the_future_are_refused(db):
 def test_storage_status_and_messages(db):
     from millrace.errors import English, Russian
 
-    assert db.storage_status()["generation"] == 2 and db.migrate_storage() == {"from": 2, "to": 2}
+    assert db.storage_status()["generation"] == 3 and db.migrate_storage() == {"from": 3, "to": 3, "steps": [], "skipped": []}
     try:
         StoreError.set_locale(Russian())
         with pytest.raises(TableError, match="нет таблицы"):
