@@ -19,9 +19,10 @@ least hashes, so:
 A least hash with many units in a shard is common: its units go to buckets by their own hash and are taken for open, so no
 bucket gathers all places of a common string.  Fingerprints have 96 bits or more beside the bytes compared in a shard.
 
-Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep theirs; rows with equal doc_id come in
-order of their texts, equal rows one after the other, each counting as earlier than the next; a null doc_id is the
-smallest; an empty table gives an empty result.
+Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep theirs; a very long text is a shard of its
+own, read whole; rows with equal doc_id come in order of their texts, equal rows one after the other, each counting as earlier
+than the next; a null doc_id is the smallest; an empty table gives an empty result; doc_id and text alone are read and only the
+operator's columns returned, so columns of clashing names play no part.
 """
 
 from __future__ import annotations
@@ -334,34 +335,43 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 _PIECE = pa.schema([("first", pa.int64()), ("n", pa.int64()), ("rows", pa.int64())])
 PREFIX = 3
+#: Pieces of 24 bytes that the driver is told of at most, whatever the table's size.
+MOST_PIECES = 1_000_000
 
 
-def _pieces(limit: int):
-    """From rows in order of doc_id: first id, bytes and rows of pieces of at most `limit` bytes.  A larger id stands alone."""
+def _pieces(limit: int, most: int):
+    """From rows in order of doc_id: first id, bytes and rows of pieces of at most `limit` bytes.  A larger id stands alone.
 
-    def cut(held: np.ndarray):
-        if len(held):
-            off = np.concatenate([[0], np.cumsum(held[:, 1])])
-            starts = [i for i, _ in runs(off, limit)]
-            columns = held[starts, 0], np.add.reduceat(held[:, 1], starts), np.add.reduceat(held[:, 2], starts)
-            yield pa.RecordBatch.from_arrays([_column(c) for c in columns], schema=_PIECE)
+    A partition of more than `most` pieces joins neighbours, so that it tells of fewer and larger ones.
+    """
+
+    def cut(held: np.ndarray, limit: int) -> np.ndarray:
+        off = np.concatenate([[0], np.cumsum(held[:, 1])])
+        starts = [i for i, _ in runs(off, limit)]
+        return np.stack([held[starts, 0], np.add.reduceat(held[:, 1], starts), np.add.reduceat(held[:, 2], starts)], 1)
 
     def run(batches):
-        last = np.zeros((0, 3), np.int64)  # this id may go on in the next batch
+        none, last = np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64)  # the last id may go on in the next batch
+        nulls, n_nulls, out, now = 0, 0, none, limit
         for batch in batches:
             ids, size = batch.column(0), batch.column(1).to_numpy()
-            nulls = ids.null_count  # they come first
-            if nulls:
-                yield pa.RecordBatch.from_arrays([_column([None]), _column([int(size[:nulls].sum())]), _column([nulls])], schema=_PIECE)
-            ids = ids.slice(nulls).to_numpy(zero_copy_only=False).astype(np.int64)
+            k = ids.null_count  # they come first
+            nulls, n_nulls = nulls + int(size[:k].sum()), n_nulls + k
+            ids = ids.slice(k).to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(ids):
                 continue
-            held = np.concatenate([last, np.stack([ids, size[nulls:], np.ones_like(ids)], 1)])
+            held = np.concatenate([last, np.stack([ids, size[k:], np.ones_like(ids)], 1)])
             begins = np.flatnonzero(np.append(True, held[1:, 0] != held[:-1, 0]))
             held = np.stack([held[begins, 0], np.add.reduceat(held[:, 1], begins), np.add.reduceat(held[:, 2], begins)], 1)
             last = held[-1:]
-            yield from cut(held[:-1])
-        yield from cut(last)
+            if len(held) > 1:
+                out = np.concatenate([out, cut(held[:-1], now)])
+            while len(out) > most:
+                now *= 2
+                out = cut(out, now) if len(out) < 4 * most else cut(out, now * 4)
+        out = np.concatenate([out, last])
+        columns = [_column([*([None] if n_nulls else []), *out[:, 0].tolist()]), _column([*([nulls] if n_nulls else []), *out[:, 1].tolist()]), _column([*([n_nulls] if n_nulls else []), *out[:, 2].tolist()])]
+        yield pa.RecordBatch.from_arrays(columns, schema=_PIECE)
 
     return run
 
@@ -369,14 +379,16 @@ def _pieces(limit: int):
 def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     """(shard, doc_id, text as bytes; total bytes).  Shards follow doc_id, then text, and hold `shard_bytes` or one larger row.
 
-    Shards are cut by the bytes that stand before an id in sorted order, wherever the ids lie.  An id (or the null id) of over
-    2 * shard_bytes in several rows is cut by its bytes in order of the texts: sums by the texts' first PREFIX bytes, then a
-    running sum within each prefix.  The driver sees about 4 pieces of 24 bytes for each shard.
+    Shards are cut by the bytes that stand before an id in sorted order, wherever the ids lie.  The driver sees pieces of a
+    quarter of a shard, or larger ones where MOST_PIECES would not do.  A piece, an id or the null id of over 2 * shard_bytes
+    in several rows is cut by the bytes that stand before each row in order of ids and texts: sums by id and by the texts'
+    first PREFIX bytes, then a running sum within each of these.
     """
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    most = max(1, MOST_PIECES // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     in_order = df.select("doc_id", size.alias("n")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    got = in_order.mapInArrow(_pieces(max(1, shard_bytes // 4)), "first long, n long, rows long").toArrow().sort_by("first")
+    got = in_order.mapInArrow(_pieces(max(1, shard_bytes // 4), most), "first long, n long, rows long").toArrow().sort_by("first")
     first, n, rows = (got.column(c).combine_chunks() for c in ("first", "n", "rows"))
     null = first.is_null().to_numpy(zero_copy_only=False)
     first, n, rows = first.fill_null(0).to_numpy(), n.to_numpy(), rows.to_numpy()
@@ -385,8 +397,8 @@ def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     ends = np.append(starts[1:], len(off) - 1)[: len(starts)]
     # slot 0 is the null id's
     held = np.concatenate([[n[null].sum()], off[ends] - off[starts]]).astype(np.int64)
-    one = np.concatenate([[True], (ends == starts + 1) & (rows[~null][starts] > 1)])
-    split = one & (held > 2 * shard_bytes)
+    several = np.concatenate([[True], (ends == starts + 1) & (rows[~null][starts] > 1)])
+    split = several & (held > 2 * shard_bytes)
     number = np.concatenate([[0], np.cumsum(np.where(split, held // shard_bytes + 1, 1))[:-1]])
     code, opening = np.where(split, -1 - number, number), first[~null][starts]
 
@@ -398,11 +410,12 @@ def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     if not split.any():
         return placed.select("shard", "doc_id", "text"), int(n.sum())
     prefix = F.coalesce(F.substring("text", 1, PREFIX), F.lit(b""))
-    big = placed.where("shard < 0").select((-1 - F.col("shard")).alias("base"), prefix.alias("prefix"), "doc_id", "text", size.alias("n"))
-    sums = big.groupBy("base", "prefix").agg(F.sum("n").alias("own"))
-    before = sums.select("base", "prefix", (F.sum("own").over(Window.partitionBy("base").orderBy("prefix")) - F.col("own")).alias("before"))
-    here = F.sum("n").over(Window.partitionBy("base", "prefix").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    big = big.withColumn("here", here).join(before, ["base", "prefix"])
+    # null ids have a slot of their own, so 0 stands for none but them there
+    big = placed.where("shard < 0").select((-1 - F.col("shard")).alias("base"), F.coalesce("doc_id", F.lit(0)).alias("id"), prefix.alias("prefix"), "doc_id", "text", size.alias("n"))
+    sums = big.groupBy("base", "id", "prefix").agg(F.sum("n").alias("own"))
+    before = sums.select("base", "id", "prefix", (F.sum("own").over(Window.partitionBy("base").orderBy("id", "prefix")) - F.col("own")).alias("before"))
+    here = F.sum("n").over(Window.partitionBy("base", "id", "prefix").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    big = big.withColumn("here", here).join(before, ["base", "id", "prefix"])
     shard = F.col("base") + F.floor((F.col("before") + F.col("here")) / F.lit(shard_bytes)).cast("long")
     return placed.where("shard >= 0").select("shard", "doc_id", "text").unionByName(big.select(shard.alias("shard"), "doc_id", "text")), int(n.sum())
 

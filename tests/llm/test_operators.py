@@ -143,6 +143,25 @@ def test_repeated_strings_of_skewed_ids(spark):
     assert collections.Counter(tuple(r) for r in got) == repeats(rows)
 
 
+@pytest.mark.parametrize("most", [4, 40])
+def test_few_pieces_for_the_driver(spark, monkeypatch, most):
+    """Where the driver may be told of few pieces only, large ones are cut by running sums; shards keep their order and size."""
+    monkeypatch.setattr(exactdup, "MOST_PIECES", most)
+    rows = skewed_ids()
+    df, total = exactdup.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2_000)
+    got = [(r["shard"], r["doc_id"], bytes(r["text"] or b"")) for r in df.collect()]
+    assert total == sum(len(r[2]) for r in got) and collections.Counter(r[1:] for r in got) == collections.Counter((i, (t or "").encode()) for i, t in rows)
+    order = sorted(got, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))
+    assert all(a[0] <= b[0] for a, b in zip(order, order[1:]))
+    sizes = collections.defaultdict(list)
+    for r in got:
+        sizes[r[0]].append(len(r[2]))
+    assert all(len(s) == 1 or sum(s) <= 2 * 2_000 + 3_000 for s in sizes.values())
+    few = [r for k, r in enumerate(rows) if r[0] is None or r[0] == 700 or k % 30 == 0] + [(9, rows[0][1] + rows[40][1])]
+    got = exactdup.remove_repeats(spark.createDataFrame(few, "doc_id long, text string"), 1_500).drop("kept").collect()
+    assert collections.Counter(tuple(r) for r in got) == repeats(few)
+
+
 # ------------------------------------------------------------------------------------------------ 2: embeddings
 
 
