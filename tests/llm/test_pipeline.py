@@ -63,3 +63,21 @@ def test_run_is_repeatable(spark, folder):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_empty_and_odd_tables(spark, no_docs, folder):
+    """No rows give no rows and the same columns; rows of nulls, blanks and repeats pass every stage or are dropped as stated."""
+    d, _ = folder
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        out = stage(spark, no_docs, d)
+        assert out.count() == 0 and (name == "shard" or out.columns == no_docs.columns)
+    rows = [(None, None), (1, None), (2, ""), (3, " \n"), (4, "12 34"), (5, "plain words"), (5, "plain words"), (6, "a" * 100_000)]
+    odd = spark.createDataFrame([(i, t, "en" if t else None, None, None, "a", "b", "c", "d", "e") for i, t in rows], no_docs.schema)
+    assert {r["text"] for r in stages["language"](spark, odd, d).collect()} <= {"plain words", "a" * 100_000}
+    ids = sorted(r["doc_id"] or 0 for r in stages["near_copies"](spark, odd, d).collect())
+    assert ids == [0, 1, 2, 3, 4, 5, 6]
+    assert stages["decontaminate"](spark, odd, d).count() == len(rows)
+    mixed = stages["mix_sources"](spark, odd, d).collect()
+    assert all(r["text"].split() and r["n_chars"] == len(r["text"]) for r in mixed)
+    assert stages["shard"](spark, odd, d).count() == len(rows)
