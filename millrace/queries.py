@@ -15,6 +15,7 @@ from .operators.relational import Edge, closure, cut_lineage, duplicates, orphan
 from .plans import query
 from .plans.predicate import Condition, Filter, conjunction
 from .plans.schema import Index, Relation, TableSchema, Unique
+from .sources.tables import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +25,7 @@ ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_ord
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _add(name: str, sql: str):
@@ -678,6 +679,85 @@ def _gate(spark, sf):
     return spark.createDataFrame([(id_, got["backing"], got["strange"], got["locked"])], "id long, backing string, strange string, locked string")
 
 
+@_add("store_last_row", f"SELECT * FROM ({_STORED}) ORDER BY id DESC LIMIT 1")
+def _last_row(spark, sf):
+    db = _shop(spark, sf)
+    row = db.last_row("orders")
+    return spark.createDataFrame([tuple(row.values())], "id long, customer long, status string, total double")
+
+
+@_add("store_old_snapshot", f"SELECT 'before' AS state, count(*) AS n, sum(id) AS ids FROM ({_STORED}) UNION ALL SELECT 'after', count(*), sum(id) FROM ({_STORED}) WHERE total <= 200000")
+def _old_snapshot(spark, sf):
+    """A frame keeps the rows that it began with while the table goes on."""
+    db = _shop(spark, sf)
+    before = db.table("orders").frame()
+    db.delete("orders", [Condition("total", ">", 200000)])
+    both = [x.agg(F.lit(state).alias("state"), F.count("*").alias("n"), F.sum("id").alias("ids")) for state, x in (("before", before), ("after", db.table("orders").frame()))]
+    return both[0].unionByName(both[1])
+
+
+@_add("store_cached_reads", f"SELECT 1 AS pass, count(*) AS n FROM ({_STORED}) WHERE status = 'O' UNION ALL SELECT 2, count(*) FROM ({_STORED}) WHERE status = 'O' UNION ALL SELECT 3, count(*) FROM ({_STORED}) WHERE status = 'O' AND total <= 100000")
+def _cached(spark, sf):
+    """The same answer from the cache, and a new one after a write."""
+    from .cache import FrameCache
+
+    plain = _shop(spark, sf)
+    db = Database.open(spark, plain.store.root, cache=FrameCache())
+    where = [Condition("status", "=", "O")]
+    rows = [(1, db.count("orders", where)), (2, db.count("orders", where))]
+    db.delete("orders", [Condition("total", ">", 100000)])
+    rows.append((3, db.count("orders", where)))
+    db.flush_cache()
+    return spark.createDataFrame(rows, "pass int, n long")
+
+
+@_add("store_facade", f"""
+SELECT 'next_id' AS name, (SELECT max(id) + 1 FROM ({_STORED}))::VARCHAR AS value UNION ALL SELECT 'count', (SELECT count(*) FROM ({_STORED}))::VARCHAR
+UNION ALL SELECT 'distinct', (SELECT count(DISTINCT status) FROM ({_STORED}))::VARCHAR UNION ALL SELECT 'exists', (SELECT CASE WHEN count(*) > 0 THEN 'True' ELSE 'False' END FROM ({_STORED}) WHERE total > 400000)
+UNION ALL SELECT 'affected', (SELECT count(*) FROM ({_STORED}) WHERE status = 'F')::VARCHAR UNION ALL SELECT 'column', (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM (SELECT id FROM ({_STORED}) ORDER BY id LIMIT 5))
+UNION ALL SELECT 'tables', 'customers,orders' UNION ALL SELECT 'columns', 'id,customer,status,total' UNION ALL SELECT 'diff', 'note;total;customer' UNION ALL SELECT 'relations', 'orders.customer>customers.code' UNION ALL SELECT 'comment', 'sales'
+""")
+def _facade(spark, sf):
+    db = _shop(spark, sf)
+    t = db.table("orders")
+    db.set_table_comment("orders", "sales")
+    diff = db.diff(TableSchema.create("orders", {"customer": "string|null", "status": "string", "note": "string"}))
+    t.where("status", "=", "F").update({"status": "F"})
+    rows = {
+        "affected": t.affected_rows(), "next_id": t.next_id(), "count": t.count(), "distinct": t.distinct("status").count(), "exists": t.where("total", ">", 400000).exists(), "column": ",".join(map(str, t.order_by("id").limit(5).column("id"))),
+        "tables": ",".join(sorted(db.table_names())), "columns": ",".join(db.column_names("orders")), "diff": f"{','.join(diff.added_columns)};{','.join(diff.dropped_columns)};{','.join(diff.changed_types)}",
+        "relations": ",".join(f"{r.child}.{r.column}>{r.parent}.{r.references}" for r in db.relations("orders")), "comment": db.table_comment("orders"),
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "name string, value string")
+
+
+@_add("store_directory_findings", "SELECT 'found' AS state, * FROM (VALUES ('broken_record', '1'), ('record_key_order', '1'), ('meta_line_count_drift', ''), ('meta_orphan_entry', ''), ('orphan_index_file', '')) t(category, n) UNION ALL SELECT 'rows', 'orders', ((SELECT count(*) FROM orders) + 1)::VARCHAR")
+def _directory_findings(spark, sf):
+    """A directory with a broken line, a record in another order and stray files: what is found, and what is left when mended."""
+    import json
+
+    from .sources.directory import export_directory, import_directory, repair_directory, table_path, validate_directory
+    from .sources.files import Files
+
+    db, path = _shop(spark, sf), _folder(spark)
+    export_directory(db, path)
+    files = Files(spark, path)
+    lines = spark.read.text(table_path(files, "orders")).unionByName(spark.createDataFrame([("oops",), ('{"status":"N","id":2,"customer":null,"total":1.5}',)], "value string").coalesce(1))
+    lines.coalesce(1).write.text(f"{path}/.new")
+    files.joined(f"{path}/.new", table_path(files, "orders"))
+    files.delete(f"{path}/.new")
+    meta = files.read_json(files.at("meta.json"))
+    files.replace(files.at("meta.json"), json.dumps({**meta, "ghost": {}}))
+    files.write(files.at("orders", "old.index.ndjson"), "")
+    found = [i for i in validate_directory(spark, path).issues if i.category != "pk_duplicate"]
+    repair_directory(spark, path)
+    left = [i for i in validate_directory(spark, path).issues if i.category != "pk_duplicate"]
+    other = Database.create(spark, _folder(spark))
+    n = import_directory(other, path)["orders"]
+    rows = [("found", i.category, str(i.context["count"]) if i.category in ("broken_record", "record_key_order") else "") for i in found] + [("left", i.category, "") for i in left]
+    return spark.createDataFrame([*rows, ("rows", "orders", str(n))], "state string, category string, n string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest finished orders."""
     where = [Condition("o_orderstatus", "=", "F"), Condition("o_totalprice", ">", 100000)]

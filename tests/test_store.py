@@ -406,3 +406,14 @@ def test_directories_are_mended(spark, db, tmp_path):
 def test_store_root_may_be_moved_to_another_instance(spark, db, root):
     load(db, 3)
     assert Store(spark, root).load().meta["t"].rows == 3
+
+
+def test_a_changed_file_is_read_anew(spark, tmp_path):
+    from millrace.sources.tables import parquet
+
+    path = f"file://{tmp_path}/p"
+    spark.range(3).write.parquet(path)
+    assert parquet(spark, path).columns == ["id"] and parquet(spark, path).count() == 3
+    time.sleep(0.01)
+    spark.sql("SELECT 1 AS a, 2 AS b").write.mode("overwrite").parquet(path)
+    assert parquet(spark, path).columns == ["a", "b"] and parquet(spark, path).count() == 1
