@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cache import Cache, NullCache
-from .errors import DataError, IoError, RelationError, SchemaError, ServiceError, TableError
+from .errors import DataError, IoError, LockError, RelationError, SchemaError, ServiceError, TableError
 from .functions import types as K
 from .mapping import Registry
 from .operators import integrity
@@ -126,13 +126,18 @@ class Database:
         return new
 
     def commit(self, new: Snapshot, old: Snapshot) -> None:
-        """Brings indexes and parts of changed tables into shape and shows the new state."""
+        """Brings indexes and parts of changed tables into shape and shows the new state.
+
+        A writer whose lease ran out under way, so that another one came in between, is refused and changes nothing.
+        """
         for name, meta in new.meta.items():
             before = old.meta.get(name)
             if meta is not None and name in new.tables and (before is None or meta.parts != before.parts):
                 self._gathered(new, name)
                 self._indexed(new, name)
         self.store.lock.renew()
+        if self.store.load().version != old.version:
+            raise LockError("LockLost", path=self.store.root)
         self.store.commit(new, old)
 
     def _gathered(self, new: Snapshot, name: str) -> None:
@@ -273,6 +278,7 @@ class Database:
         return query.select(df.orderBy(POS), columns=schema.columns, zone=self.zone)
 
     def select(self, name: str, where: Where = (), order: Iterable = (), distinct: Sequence[str] = (), limit: int | None = None, offset: int | None = None, project: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
+        where = where if isinstance(where, Filter) else tuple(where)
         df, schema = self._readable(name, where)
         return query.select(df, where, order, distinct, limit, offset, project, schema.columns, zone=self.zone, table=name, collation=self.collation, ordered=ordered)
 
@@ -286,6 +292,7 @@ class Database:
         return query.count(df, conditions, distinct, schema.columns, self.zone, name, self.collation).first()["n"]
 
     def row_exists(self, name: str, where: Where = ()) -> bool:
+        where = where if isinstance(where, Filter) else tuple(where)
         df, schema = self._readable(name, where)
         return query.exists(df, where, columns=schema.columns, zone=self.zone, table=name, collation=self.collation)
 

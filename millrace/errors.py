@@ -52,6 +52,7 @@ class English:
         "InvalidUtf8": "column {column} takes text that UTF-8 can hold",
         "LikeOnInstantUnsupported": "LIKE does not apply to instants such as {column}",
         "LikeOnNonStringColumn": "LIKE needs a text column, not {column}",
+        "LockLost": "another writer took over the lock of {path}; nothing was written",
         "LockTimeout": "the writer lock of {path} was not released in time",
         "ManifestUnreadable": "the manifest {path} cannot be read: {reason}",
         "MetaEntryMissing": "the manifest has no readable entry for {table}",
@@ -147,6 +148,7 @@ class Russian:
         "InvalidUtf8": "столбец {column} принимает только текст в UTF-8",
         "LikeOnInstantUnsupported": "LIKE не применяется к моментам вроде {column}",
         "LikeOnNonStringColumn": "LIKE нужен текстовый столбец, а не {column}",
+        "LockLost": "блокировку {path} забрал другой писатель; ничего не записано",
         "LockTimeout": "блокировка записи {path} не снята вовремя",
         "ManifestUnreadable": "манифест {path} прочесть нельзя: {reason}",
         "MetaEntryMissing": "в манифесте нет годной записи о {table}",

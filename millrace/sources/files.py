@@ -145,7 +145,7 @@ class WriterLock:
     `exclusive` waits.
     """
 
-    def __init__(self, files: Files, timeout: float = 30.0, lease: float = 3600.0):
+    def __init__(self, files: Files, timeout: float = 30.0, lease: float = 6 * 3600.0):
         self.files, self.timeout, self.lease, self.depth = files, timeout, lease, 0
         self.path, self.shared_path = files.at("_writer.lock"), files.at("_readers")
         self.me = f"{socket.gethostname()}-{os.getpid()}-{uuid.uuid4().hex[:8]}"
@@ -181,7 +181,10 @@ class WriterLock:
         return True
 
     def renew(self) -> None:
+        """Extends the lease; a lock that another writer has taken over is gone for good."""
         if self.depth:
+            if (self.owner() or {}).get("owner") != self.me:
+                raise LockError("LockLost", path=self.files.root)
             self.files.replace(self.path, self._body())
 
     def _wait(self, until: float, cause: Exception | None = None) -> None:
@@ -205,7 +208,7 @@ class WriterLock:
 
     def __exit__(self, *_) -> None:
         self.depth -= 1
-        if self.depth == 0:
+        if self.depth == 0 and (self.owner() or {}).get("owner") == self.me:
             self.files.delete(self.path)
 
     # ---------------------------------------------------------------------------------------- shared

@@ -240,6 +240,18 @@ def test_leases_and_shared_locks(spark, db, root):
     assert other.vacuum() == 0
 
 
+def test_a_writer_that_lost_its_lock_changes_nothing(spark, db, root):
+    other = Database.open(spark, root)
+    with pytest.raises(LockError) as e:
+        with db.store.lock:
+            db.store.files.replace(db.store.lock.path, json.dumps({"owner": db.store.lock.me, "until": time.time() - 1}))
+            other.insert("t", {"b": "theirs"})  # the lease ran out
+            db.insert("t", {"b": "mine"})
+    assert e.value.code == "LockLost" and db.table("t").column("b") == ["theirs"]
+    assert db.insert("t", {"b": "again"}) == 2
+    assert [r["b"] for r in db.select("t", (c for c in [Condition("id", ">", 1)])).collect()] == ["again"]
+
+
 def test_temporary_folders_are_for_local_sessions(spark):
     class Elsewhere:
         class sparkContext:  # noqa: N801
