@@ -12,7 +12,8 @@ rows are packed one after another; an empty table, or one without words, gives r
 everything is keyed by a seed.  `mix_digest` reads doc_id, source and text alone; `mixed_texts` passes other columns through,
 whatever their names.
 
-Per-source figures (a size, a target and the slots of each output shard) are made on the driver: sources are few by assumption.
+Sources may be as many as documents: their figures are a table.  Multinomial draws come in two steps where sources are many,
+among buckets of sources on the driver and among a bucket's sources in a task, which is the same draw taken apart.
 """
 
 from __future__ import annotations
@@ -26,49 +27,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, binary_parts, bites, checkpointed, mix, runs, table, with_text
+from .common import U64, binary_parts, bites, by_salt, checkpointed, index_ranges, mix, runs, salt_mask, salted, table, with_text
 
 MAX_REPEATS = 3
 
 
-def targets(sizes: list[tuple[str | None, int]], repeats: int = MAX_REPEATS) -> dict[str | None, float]:
-    """Words wanted of each source: weights 1, 2, 3, 1, ... by code point with null last, capped and reshared."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: float(i % 3 + 1) for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    left, open_, out = float(sum(size.values())), [s for s, _ in order], {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if unit * weight[s] > repeats * size[s]]
-        if not over:
-            out |= {s: unit * weight[s] for s in open_}
-            break
-        for s in over:
-            out[s] = float(repeats * size[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in over]
+#: Sources that are drawn among in one task, and buckets of sources on the driver at least and at most.
+BUCKET_SOURCES, LEAST_BUCKETS, MOST_BUCKETS = 10_000, 1_024, 65_536
+BROADCAST_SOURCES = 50_000
+#: Slots that a row stands for before they are spelled out, and that a batch holds.
+RANGE_SLOTS = 1 << 16
+
+
+def with_targets(sums: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
+    """Adds source_ix (by code point, null last) and target, the words wanted: weights 1, 2, 3, 1, ..., capped and reshared.
+
+    `sums` has __source and source_size.  A unit of weight is worth what is left beside the capped sources; it only grows
+    from round to round, so that a capped source stays capped, until no other is.
+    """
+    df = numbered(sums, [F.col("__source").asc_nulls_last()], "source_ix")
+    df = checkpointed(df.withColumn("__weight", (F.col("source_ix") % 3 + 1).cast("double")))
+    most = F.lit(float(repeats)) * F.col("source_size")
+    unit, n_over = 0.0, -1
+    while True:
+        over = F.lit(unit) * F.col("__weight") > most
+        got = df.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(over, most).otherwise(0.0)).alias("capped"), F.sum(F.when(~over, F.col("__weight"))).alias("weight"), F.count_if(over).alias("n"),
+        ).first()
+        if got["n"] == n_over or not got["all"] or not got["weight"]:
+            return df.withColumn("target", F.when(over, most).otherwise(F.lit(unit) * F.col("__weight"))).drop("__weight")
+        unit, n_over = (float(got["all"]) - got["capped"]) / got["weight"], got["n"]
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 0 in order: sorted partitions are counted, then numbered, none of them seen as a whole."""
+    df = checkpointed(df.orderBy(*order)).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    starts = df.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return df.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__k")).drop("__p", "__k", "__start")
+
+
+def even(total: int, n: int) -> list[int]:
+    """n sizes as equal as can be, the smaller ones first."""
+    out = []
+    for m in range(n):
+        out.append((total - sum(out)) // (n - m))
     return out
 
 
-def shard_counts(wanted: list[int], n_shards: int, seed: int) -> np.ndarray:
-    """Slots of each source (columns) in each output shard (rows): multinomial draws from what is left."""
+def draws(wanted: np.ndarray, takes: list[int], rng: np.random.Generator) -> np.ndarray:
+    """Slots of each source (columns) in each output shard (rows): multinomial draws of `takes` from what is left."""
     rest = np.asarray(wanted, np.int64)
-    rng, out = np.random.default_rng(seed), np.zeros((n_shards, len(rest)), np.int64)
-    for m in range(n_shards):
-        total = int(rest.sum())
-        if m == n_shards - 1 or total == 0:
-            out[m] = rest if m == n_shards - 1 else 0
-        else:
-            take = total // (n_shards - m)
-            while take > 0:  # a draw beyond what a source has left is drawn anew among the others
-                left = rest - out[m]
-                got = np.minimum(rng.multinomial(take, left / left.sum()), left)
-                out[m] += got
-                take -= int(got.sum())
+    out = np.zeros((len(takes), len(rest)), np.int64)
+    for m, take in enumerate(takes):
+        if m == len(takes) - 1:
+            out[m] = rest
+        while take > 0 and m < len(takes) - 1:  # a draw beyond what a source has left is drawn anew among the others
+            left = rest - out[m]
+            got = np.minimum(rng.multinomial(take, left / left.sum()), left)
+            out[m] += got
+            take -= int(got.sum())
         rest = rest - out[m]
     return out
 
 
+def shard_counts(wanted: list[int], n_shards: int, seed: int) -> np.ndarray:
+    return draws(np.asarray(wanted, np.int64), even(int(sum(wanted)), n_shards), np.random.default_rng(seed))
+
+
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Keyed pseudorandom permutation of 0 .. n-1, by element.
 
@@ -144,52 +170,60 @@ def packed(rows: DataFrame, rows_per_chunk: int) -> DataFrame:
     return run.join(offsets, ["__key", "__chunk"]).withColumn("start", F.col("__before") + F.col("__own")).drop("__before", "__own")
 
 
-def draw_slots(spark: SparkSession, blocks: list[int], wanted: list[int], n_shards: int, seed: int) -> DataFrame:
+def draw_slots(plan: DataFrame, n_shards: int, seed: int) -> DataFrame:
     """All slots of the mix: source_ix, slot, out_shard, epoch, block."""
-    counts = shard_counts(wanted, n_shards, seed)
-    upto = np.cumsum(counts, axis=0)
-    first = np.concatenate([[0], np.cumsum(wanted)]).astype(np.int64)
-    n_blocks = np.maximum(1, np.asarray(blocks, np.int64))
-
-    def slots(batches):
+    spark = plan.sparkSession
+    wanted = plan.where("n_slots > 0").select("source_ix", "n_blocks", "n_slots")
+    n_sources = wanted.count()
+    n_buckets = max(1, min(n_sources, max(LEAST_BUCKETS, min(MOST_BUCKETS, n_sources // BUCKET_SOURCES))))
+    dealt = wanted.withColumn("bucket", F.col("source_ix") % n_buckets)
+    totals = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.sum("n_slots").alias("n")).collect()}
+    names = sorted(totals)
+    takes = dict(zip(names, shard_counts([totals[b] for b in names], n_shards, seed).T)) if names else {}
+
+    def divide(key, tab):
+        bucket = key[0].as_py()
+        order = np.argsort(tab.column("source_ix").to_numpy())
+        ix, blocks, slots = (tab.column(c).to_numpy()[order] for c in ("source_ix", "n_blocks", "n_slots"))
+        counts = draws(slots, takes[bucket].tolist(), np.random.default_rng([seed, bucket]))
+        first = np.cumsum(counts, axis=0) - counts
+        m, s = np.nonzero(counts)
+        return pa.table({"source_ix": pa.array(ix[s]), "n_blocks": pa.array(blocks[s]), "out_shard": pa.array(m), "first": pa.array(first[m, s]), "n": pa.array(counts[m, s])})
+
+    ranges = dealt.groupBy("bucket").applyInArrow(divide, "source_ix long, n_blocks long, out_shard long, first long, n long")
+    # a source's slots of one shard are many where it is hot: ranges of bounded length are dealt to tasks
+    ranges = ranges.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RANGE_SLOTS))))
+    ranges = ranges.select("source_ix", "n_blocks", "out_shard", (F.col("first") + F.col("at")).alias("first"), F.least(F.lit(RANGE_SLOTS), F.col("n") - F.col("at")).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def spelled(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            src = np.searchsorted(first, ids, side="right") - 1
-            slot = ids - first[src]
-            shard = np.zeros(len(ids), np.int64)
-            for s in np.unique(src):
-                m = src == s
-                shard[m] = np.searchsorted(upto[:, s], slot[m], side="right")
-            epoch, index = slot // n_blocks[src], slot % n_blocks[src]
-            keys = mix(src.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed) + epoch.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-            block = permuted(index, n_blocks[src], keys)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (src, slot, shard, epoch, block)], ["source_ix", "slot", "out_shard", "epoch", "block"])
-
-    total = int(first[-1])
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
-    return spark.range(0, total, 1, parts).mapInArrow(slots, "source_ix long, slot long, out_shard long, epoch long, block long")
+            ix, blocks, shard, first, n = (c.to_numpy() for c in b.columns)
+            for i, j in runs(np.concatenate([[0], np.cumsum(n)]), 4 * RANGE_SLOTS):
+                slot = index_ranges(first[i:j], n[i:j])
+                src, n_blocks, out = (np.repeat(x[i:j], n[i:j]) for x in (ix, blocks, shard))
+                epoch, index = slot // n_blocks, slot % n_blocks
+                keys = mix(src.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed) + epoch.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+                block = permuted(index, n_blocks, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (src, slot, out, epoch, block)], ["source_ix", "slot", "out_shard", "epoch", "block"])
 
+    return ranges.repartition(parts, "source_ix", "out_shard", "first").mapInArrow(spelled, "source_ix long, slot long, out_shard long, epoch long, block long")
 
-def mix_documents(docs: DataFrame, block_words: int = 128, n_shards: int = 64, seed: int = 20_240_601, rows_per_chunk: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(packed documents with start and uid, per-source plan, slots with out_shard, epoch and block).
 
-    The plan has one row per source and is made on the driver: sources are few by assumption (some hundred thousand fit).
-    """
-    spark = docs.sparkSession
+def mix_documents(docs: DataFrame, block_words: int = 128, n_shards: int = 64, seed: int = 20_240_601, rows_per_chunk: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packed documents with start and uid, plan with a row per source, slots with out_shard, epoch and block)."""
     rows = docs.select("doc_id", _source_key(F.col("source")).alias("__key"), F.col("source").alias("__source"), "text")
-    rows = checkpointed(sized(rows, ["doc_id", "__key", "__source"]))
-    sums = [(r["__source"], int(r["n"])) for r in rows.groupBy("__source").agg(F.sum("size").alias("n")).collect()]
-    want = targets(sums)
-    plan, blocks, wanted = [], [], []
-    for ix, (source, size) in enumerate(sorted(sums, key=lambda x: (x[0] is None, x[0] or ""))):
-        n = -(-size // block_words)
-        slots = min(MAX_REPEATS * n, round(want[source] * n / size)) if size else 0
-        plan.append(("n" if source is None else "s" + source, ix, size, float(want[source]), n, slots))
-        blocks.append(n)
-        wanted.append(slots)
-    frame = spark.createDataFrame(plan, "__key string, source_ix long, source_size long, target double, n_blocks long, n_slots long")
-    slots = draw_slots(spark, blocks, wanted, n_shards, seed)
-    return packed(rows, rows_per_chunk).join(frame, "__key"), frame, slots
+    rows = checkpointed(salted(sized(rows, ["doc_id", "__key", "__source"]), "doc_id"))
+    sums = with_targets(rows.groupBy("__key", "__source").agg(F.sum("size").alias("source_size"), salt_mask()))
+    n = F.ceil(F.col("source_size") / block_words).cast("long")
+    slots = F.least(F.lit(MAX_REPEATS) * n, F.bround(F.col("target") * n / F.col("source_size")).cast("long"))
+    plan = sums.withColumn("n_blocks", n).withColumn("n_slots", F.when(F.col("source_size") > 0, slots).otherwise(0)).drop("__source")
+    plan = checkpointed(plan)
+    if plan.count() <= BROADCAST_SOURCES:
+        parts = packed(rows, rows_per_chunk).join(F.broadcast(plan.drop("__mask")), "__key")
+    else:
+        parts = packed(rows, rows_per_chunk).join(by_salt(plan), ["__key", "__salt"])
+    return parts.drop("__salt"), plan, draw_slots(plan, n_shards, seed)
 
 
 def covered(parts: DataFrame, slots: DataFrame, block_words: int, by: list[str]) -> DataFrame:

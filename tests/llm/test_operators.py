@@ -446,7 +446,7 @@ def test_mixing(spark, docs, corpus, no_docs):
     sums = collections.Counter()
     for r in corpus:
         sums[r[3]] += size(r[1])
-    target = mixing.targets(list(sums.items()))
+    target = targets_by_hand(sums)
     assert abs(sum(target.values()) - sum(sums.values())) < 1e-6 and all(t <= 3 * sums[s] + 1e-9 for s, t in target.items())
     taken = collections.Counter()
     for r in got:
@@ -458,9 +458,50 @@ def test_mixing(spark, docs, corpus, no_docs):
     assert mixing.mix_digest(no_docs).count() == 0
 
 
-def test_mixing_caps_small_sources():
-    t = mixing.targets([("a", 10), ("b", 1000), (None, 990)])
-    assert t["a"] == 30 and abs(sum(t.values()) - 2000) < 1e-9 and abs(t[None] / t["b"] - 1.5) < 1e-9
+def targets_by_hand(sizes):
+    """Weights 1, 2, 3, 1, ... by code point with null last; what would exceed three times a size is capped and reshared."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, capped = {s: i % 3 + 1 for i, s in enumerate(order)}, set()
+    while True:
+        free = [s for s in order if s not in capped]
+        unit = (sum(sizes.values()) - sum(3 * sizes[s] for s in capped)) / sum(weight[s] for s in free) if free else 0.0
+        over = {s for s in free if unit * weight[s] > 3 * sizes[s]}
+        if not over:
+            return {s: 3.0 * sizes[s] if s in capped else unit * weight[s] for s in order}
+        capped |= over
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 990}, {"a": 1, "b": 2, "c": 3, "d": 1_000_000, "": 40}, {"z": 0, "y": 0}, {"only": 5}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "__source string, source_size long").repartition(3)
+    got = {r["__source"]: r for r in mixing.with_targets(rows).collect()}
+    want = targets_by_hand(sizes)
+    assert all(abs(got[s]["target"] - t) < 1e-6 for s, t in want.items())
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1]["source_ix"])] == sorted(sizes, key=lambda s: (s is None, s or ""))
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Buckets of sources, slots in short ranges and a join over salts give what single tasks give: every slot, once."""
+    monkeypatch.setattr(mixing, "LEAST_BUCKETS", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "RANGE_SLOTS", 5)
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), f"s{i % 40 if i % 3 else 0}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts, plan, slots = mixing.mix_documents(df, 16, 7, 5)
+    want = {r["source_ix"]: (r["n_slots"], r["n_blocks"]) for r in plan.collect()}
+    got = collections.defaultdict(list)
+    sizes = collections.Counter()
+    for r in slots.collect():
+        got[r["source_ix"]].append((r["slot"], r["epoch"], r["block"]))
+        sizes[r["out_shard"]] += 1
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 7
+    for ix, (n, blocks) in want.items():
+        assert sorted(x[0] for x in got[ix]) == list(range(n)) and all(e == s // blocks for s, e, _ in got[ix])
+        for epoch in {x[1] for x in got[ix]}:
+            seen = [x[2] for x in got[ix] if x[1] == epoch]
+            assert len(seen) == len(set(seen)) and all(0 <= b < blocks for b in seen)
+    assert parts.count() == len(rows) and parts.where("target IS NULL").count() == 0
 
 
 def test_mixed_texts(docs, no_docs):
