@@ -179,7 +179,7 @@ def _places(part: pa.RecordBatch, text: bytes, where: np.ndarray, first: np.ndar
 
 def hits(found: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
     """k1, k2, begin, n, win of every verified occurrence."""
-    keys = F.broadcast(keys) if n_keys <= BROADCAST_WINDOWS else keys
+    keys = F.broadcast(keys) if n_keys <= BROADCAST_WINDOWS else keys.hint("merge")  # sizes seen before windows are made mislead
     both = found.where("at IS NOT NULL").select("k1", "k2", "key", "at", "around", "begins").join(keys, "key")
     start, size = F.get("begins", F.col("offset")), F.octet_length("win")
     same = F.substr("around", start + 1, size) == F.col("win")
@@ -200,11 +200,12 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["sum"])
 
 
-def by_document(hit: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+def by_document(hit: DataFrame, made: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, n_hit) and (k1, k2, n_items, items_sha256) of the documents with hits."""
     hit = checkpointed(hit)
     words = hit.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("begin", "n"))).alias("spans")).select("k1", "k2", _covered(F.col("spans")).alias("n_hit"))
     owners = made.select("win", "item").distinct()
+    owners = owners if n_keys <= BROADCAST_WINDOWS else owners.hint("merge")
     named = hit.select("k1", "k2", "win").distinct().join(owners, "win").select("k1", "k2", "item").distinct()
     ids = F.sort_array(F.collect_list("item"))  # items without an id are left out here and counted
     return words, named.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
@@ -221,7 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
     mask = bitmap(keys, n_keys, max_bits)
     own = [] if below is not None else [c for c in keep if c not in RESULT]
     found = checkpointed(candidates(docs, own, text, mask))
-    words, named = by_document(hits(found, keys, n_keys), made)
+    words, named = by_document(hits(found, keys, n_keys), made, n_keys)
     if below is not None:
         k1, k2 = identity(docs, text)
         bad = checkpointed(named.where(F.col("n_items") >= below).select("k1", "k2"))

@@ -233,7 +233,8 @@ def covered(parts: DataFrame, slots: DataFrame, block_words: int, by: list[str])
     cut = cut.withColumn("from_word", F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")))
     cut = cut.withColumn("to_word", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start")))
     uses = slots.groupBy("source_ix", "block", *by).agg(F.count("*").alias("uses"))
-    return cut.join(uses, ["source_ix", "block"])
+    # slots are spelled out of a small table, by which the optimiser would judge their size and broadcast them
+    return cut.join(uses.hint("merge"), ["source_ix", "block"])
 
 
 def mix_digest(docs: DataFrame, block_words: int = 128, **options) -> DataFrame:
