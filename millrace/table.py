@@ -77,6 +77,10 @@ class Table:
 
     def one(self) -> dict | None:
         def work():
+            only = self._filter.conditions
+            plain = not self._order and not self._distinct and not self._offset and self._limit != 0
+            if plain and len(only) == 1 and only[0] == Condition(PK, "=", only[0].value) and type(only[0].value) is int:
+                return self.db.by_id(self.name, only[0].value)
             got = self._frame(limit=1).collect()
             return got[0].asDict() if got else None
 

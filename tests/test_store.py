@@ -429,3 +429,31 @@ def test_a_changed_file_is_read_anew(spark, tmp_path):
     time.sleep(0.01)
     spark.sql("SELECT 1 AS a, 2 AS b").write.mode("overwrite").parquet(path)
     assert parquet(spark, path).columns == ["a", "b"] and parquet(spark, path).count() == 1
+
+
+def test_rows_by_id_are_read_alike_with_and_without_a_job(spark, db, monkeypatch):
+    from millrace.sources import point
+
+    load(db, 30)
+    db.update("t", [Condition("id", "=", 7)], {"a": None})
+    db.delete("t", [Condition("id", "=", 8)])
+    db.insert("t", {"b": "new", "c": -0.5})
+    ids = [1, 7, 8, 30, 31, 99, -1, 2**63 - 1]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    fast = [db.table("t").where("id", "=", i).one() for i in ids]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    monkeypatch.setattr(point, "MOST_FILES", -1)
+    assert [db.table("t").where("id", "=", i).one() for i in ids] == fast and fast[1]["a"] is None and fast[2] is None
+    monkeypatch.undo()
+    t = db.table("t")
+    assert t.where("id", "=", 1).limit(0).one() is None and t.where("id", "=", 1).where("a", "=", 99).one() is None and t.where("id", "=", 1, True).order_by("id").one()["id"] == 2
+    with pytest.raises(DataError):
+        t.where("id", "=", True).one()
+    with pytest.raises(DataError):
+        t.where("id", "=", 2**70).one()
+    db.migrate("t", {"a": "int|null", "b": "string", "c": "float|null", "d": "int"})
+    assert db.table("t").where("id", "=", 1).one() == {**fast[0], "d": 0}
+    other = Database.open(spark, db.store.root, zone="Europe/Berlin")
+    other.create_table(TableSchema.create("m", {"made": "datetime"}))
+    other.insert("m", {"made": "2024-07-01 12:00:00"})
+    assert other.table("m").where("id", "=", 1).one()["made"] == "2024-07-01 12:00:00" and db.table("m").where("id", "=", 1).one()["made"] == "2024-07-01 10:00:00"
