@@ -239,22 +239,14 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def slide_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values (len(x) - w + 1 of them), by doubling."""
-    return _slide(np.minimum, x, w)
-
-
-def slide_max(x: np.ndarray, w: int) -> np.ndarray:
-    return _slide(np.maximum, x, w)
-
-
-def _slide(op, x: np.ndarray, w: int) -> np.ndarray:
     n, have = len(x) - w + 1, 1
     if n <= 0:
         return x[:0]
     out = x
     while have * 2 <= w:
-        out = op(out[:-have], out[have:])
+        out = np.minimum(out[:-have], out[have:])
         have *= 2
-    return op(out[:n], out[w - have : w - have + n]) if have < w else out[:n]
+    return np.minimum(out[:n], out[w - have : w - have + n]) if have < w else out[:n]
 
 
 def index_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
